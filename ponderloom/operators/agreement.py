@@ -201,12 +201,15 @@ def operation_codes(types: str, parts: str) -> Column:
 def adapted(rows: DataFrame, sentence_col: str = "sentence", classify=rule_type) -> DataFrame:
     """rows plus codes: the operations that an extractor (a Column function) finds in each sentence."""
     s = fixed(rows.withColumn("_parts", segments(F.col(sentence_col))))
-    s = fixed(s.withColumn("_types", F.transform("_parts", classify)))
+    s = fixed(s.withColumn("_types", F.transform("_parts", lambda s: classify(s))))
     return fixed(s.withColumn("codes", operation_codes("_types", "_parts")).drop("_parts", "_types"))
 
 
-def gcs(corpus: DataFrame, classify=rule_type) -> DataFrame:
-    """corpus: id, sentence, gold (letters), category. plus codes, gcs."""
+def gcs(corpus: DataFrame, classify=rule_type, whole: bool = False) -> DataFrame:
+    """corpus: id, sentence, gold (letters), category. plus codes, gcs. whole: one operation for each sentence, without the adapter."""
+    if whole:
+        kind = F.element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), classify(F.col("sentence")))
+        return fixed(corpus.withColumn("codes", kind)).withColumn("gcs", granularity("codes", "gold"))
     return adapted(corpus, "sentence", classify).withColumn("gcs", granularity("codes", "gold"))
 
 

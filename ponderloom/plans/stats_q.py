@@ -126,7 +126,7 @@ def alignment(spark, sf):
 
 def gcp_calibration(spark, sf):
     gold = corpora.gold(spark)
-    rules, base = (A.gcs_summary(A.gcs(gold, f)).withColumn("extractor", F.lit(n)) for n, f in (("rbe", T.rule_type), ("rbe_rand", T.length_type)))
+    rules, base = (A.gcs_summary(A.gcs(gold, f, n == "rbe_rand")).withColumn("extractor", F.lit(n)) for n, f in (("rbe", T.rule_type), ("rbe_rand", T.length_type)))
     return rules.unionByName(base)
 
 
