@@ -74,7 +74,7 @@ def _blocks(fingerprint: str, radius: int) -> Column:
 
 def weighted_jaccard(x: str, y: str) -> Column:
     other = F.map_from_entries(x)
-    both = F.aggregate(y, F.lit(0).cast("long"), lambda a, r: a + F.coalesce(F.least(r["w"], F.try_element_at(other, r["h"])), F.lit(0)))
+    both = F.aggregate(y, F.lit(0).cast("long"), lambda a, r: a + F.least(r["w"], F.coalesce(F.try_element_at(other, r["h"]), F.lit(0).cast("long"))))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, r: a + r["w"])
     return both / (total(x) + total(y) - both)
 
