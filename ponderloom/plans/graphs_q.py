@@ -35,6 +35,7 @@ ec AS (SELECT trace_id, count(*) AS m, count(DISTINCT src) AS s FROM ed GROUP BY
 b AS (SELECT nc.*, coalesce(ec.m, 0) AS m, coalesce(ec.s, 0) AS s, dep.depth FROM nc LEFT JOIN ec ON nc.trace_id = ec.trace_id JOIN dep ON dep.trace_id = nc.trace_id)"""
 _H = lambda log, eps: "(" + " + ".join(f"CASE WHEN n_{t.lower()} > 0 THEN -(n_{t.lower()} / n) * {log}((n_{t.lower()} / n) + {eps}) ELSE 0::DOUBLE END" for t in TYPES) + ")"
 _r = lambda c: f"round({c}, 6)"
+_z = lambda c: f"CASE WHEN abs({c}) < 5e-7 THEN 0::DOUBLE ELSE round({c}, 6) END"  # noqa: E731  no negative zero
 
 
 def _rounded(df, *names):
@@ -143,7 +144,7 @@ def step_annotations(spark, sf):
 @query(
     f"WITH {_LOST}, r2 AS (SELECT DISTINCT trace_id FROM ({R2_SQL})), r4 AS (SELECT DISTINCT trace_id FROM ({R4_SQL})), r5 AS (SELECT DISTINCT trace_id FROM ({R5_SQL})), t AS (SELECT DISTINCT trace_id FROM nd), "
     "f AS (SELECT t.trace_id, r2.trace_id IS NOT NULL AS a, r4.trace_id IS NOT NULL AS b, r5.trace_id IS NOT NULL AS c FROM t LEFT JOIN r2 ON t.trace_id = r2.trace_id LEFT JOIN r4 ON t.trace_id = r4.trace_id LEFT JOIN r5 ON t.trace_id = r5.trace_id), "
-    "p AS (SELECT 'strict' AS rule_variant, count(*) FILTER (NOT (a OR b OR c)) AS n_valid, count(*) AS n_total FROM f UNION ALL SELECT 'standard', count(*) FILTER (NOT a), count(*) FROM f UNION ALL SELECT 'relaxed', count(*), count(*) FROM f UNION ALL SELECT 'ultra_relaxed', count(*), count(*) FROM f) "
+    "p AS (SELECT 'strict' AS rule_variant, count(*) FILTER (NOT (a OR b OR c)) AS n_valid, count(*) AS n_total FROM f UNION ALL SELECT 'standard', count(*), count(*) FROM f UNION ALL SELECT 'relaxed', count(*), count(*) FROM f UNION ALL SELECT 'ultra_relaxed', count(*), count(*) FROM f) "
     "SELECT rule_variant, n_valid, n_total, round(n_valid / n_total, 6) AS pass_rate, round(greatest(0::DOUBLE, 1 - (SELECT stddev_pop(n_valid / n_total) / avg(n_valid / n_total) FROM p)), 6) AS stability FROM p"
 )
 def ngs_robustness(spark, sf):
@@ -161,7 +162,7 @@ def level1_features(spark, sf):
 _GM = f"depth::DOUBLE AS depth, m / n AS branching, n_verify / n AS verify_density, n_backtrack / n AS backtrack_rate, {_H('ln', '1e-10')} AS entropy, 2 * m / n AS avg_degree, m / (CASE WHEN n > 1 THEN n * (n - 1) / 2 ELSE 1::DOUBLE END) AS graph_density, 1::DOUBLE AS extraction_rate"
 
 
-@query(BASE + f", g AS (SELECT trace_id, n::INTEGER AS n_nodes, m::INTEGER AS n_edges, {_GM} FROM b) SELECT trace_id, n_nodes, n_edges, depth, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("branching", "verify_density", "backtrack_rate", "entropy", "avg_degree", "graph_density", "extraction_rate")) + " FROM g")
+@query(BASE + f", g AS (SELECT trace_id, n::INTEGER AS n_nodes, m::INTEGER AS n_edges, {_GM} FROM b) SELECT trace_id, n_nodes, n_edges, depth, " + ", ".join(f"{_z(c)} AS {c}" for c in ("branching", "verify_density", "backtrack_rate", "entropy", "avg_degree", "graph_density", "extraction_rate")) + " FROM g")
 def graph_metrics(spark, sf):
     return _rounded(M.graph_metrics(event_graphs(spark, sf)), "branching", "verify_density", "backtrack_rate", "entropy", "avg_degree", "graph_density", "extraction_rate")
 
@@ -171,12 +172,12 @@ sh AS (SELECT trace_id, max(o)::DOUBLE AS max_out_degree, count(*) FILTER (o = 0
 mx AS (SELECT b.trace_id, b.user_id, n::DOUBLE AS n_nodes, m::DOUBLE AS n_edges, {_GM}, {', '.join(f'n_{t.lower()} / n AS {t.lower()}_ratio' for t in TYPES)}, max_out_degree, n_leaf_nodes, 0::DOUBLE AS mean_text_len FROM b JOIN sh ON sh.trace_id = b.trace_id)"""
 
 
-@query(MATRIX + " SELECT trace_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in M.METRICS) + " FROM mx")
+@query(MATRIX + " SELECT trace_id, " + ", ".join(f"{_z(c)} AS {c}" for c in M.METRICS) + " FROM mx")
 def feature_matrix19(spark, sf):
     return _rounded(M.metric_matrix(event_graphs(spark, sf)), *M.METRICS)
 
 
-@query(MATRIX + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max FROM mx" for c in M.METRICS) + ")")
+@query(MATRIX + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS metric, {_z(f'avg({c})')} AS mean, {_z(f'stddev_pop({c})')} AS std, {_z(f'min({c})')} AS min, {_z(f'max({c})')} AS max FROM mx" for c in M.METRICS) + ")")
 def metric_summary(spark, sf):
     return _rounded(M.summary(M.metric_matrix(event_graphs(spark, sf)), M.METRICS), "mean", "std", "min", "max")
 

@@ -31,7 +31,7 @@ def traces(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFram
 def graphs(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Graphs of JSON lines (nested or flat), or of a folder of *.json files with one graph each."""
     if whole_files:
-        rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+        rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     else:
         rows = spark.read.text(path)
     return from_canonical_json(rows.where(F.trim("value") != "").withColumnRenamed("value", "json"))
