@@ -69,9 +69,9 @@ def _splitter(path: str):
     return split
 
 
-def _pack(table: pa.Table) -> bytes:
+def _pack(table: pa.Table, level: int = 6) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -135,7 +135,8 @@ def _encode_words(vocab: str):
     """Each distinct word of a bucket is encoded once; a bucket is in one task."""
 
     def run(batches):
-        tokenizer, _, special = _vocabulary(vocab)
+        tokenizer, pieces, special = _vocabulary(vocab)
+        narrow = pa.list_(pa.uint16() if len(pieces) <= 65_536 else pa.uint32())
         known: dict[str, list[int]] = {}
         for batch in batches:
             out = []
@@ -143,10 +144,10 @@ def _encode_words(vocab: str):
                 t = _unpack(blob.as_py())
                 names = t["word"].to_pylist()
                 new = [w for w in names if w not in known]
-                for w, e in zip(new, tokenizer.encode_batch_fast([w for w in new], add_special_tokens=False), strict=True):
+                for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                     known[w] = [special[w]] if w in special else e.ids
                 got = [known[w] for w in names]
-                out.append(_pack(pa.table({"at": t["at"], "ids": pa.array(got, pa.list_(pa.uint32()))})))
+                out.append(_pack(pa.table({"at": t["at"], "ids": pa.array(got, narrow)})))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=_PACKED_ARROW)
 
     return run
@@ -158,18 +159,21 @@ def _join_back(vocab: str, schema: pa.Schema):
         ids_of: dict[int, bytes] = {}
         text_of: dict[int, bytes] = {}
         for blob in lists["packed"]:
-            t = _unpack(blob.as_py())
-            for at, ids in zip(t["at"].to_pylist(), t["ids"].to_pylist(), strict=True):
-                ids_of[at] = np.array(ids, "<u4").tobytes()
-                text_of[at] = b"".join([pieces[i] for i in ids])
+            t = _unpack(blob.as_py()).combine_chunks()
+            said = t["ids"].chunk(0) if t["ids"].num_chunks else pa.array([], pa.list_(pa.uint32()))
+            raw, ends = said.flatten().to_numpy().astype("<u4"), (said.offsets.to_numpy() - (said.offsets[0].as_py() if len(said) else 0)).tolist()
+            data, flat = raw.tobytes(), [pieces[i] for i in raw.tolist()]
+            for at, a, b in zip(t["at"].to_pylist(), ends, ends[1:], strict=False):
+                ids_of[at] = data[4 * a : 4 * b]
+                text_of[at] = b"".join(flat[a:b])
         out = []
         for blob in docs["packed"]:
             names, numbers, ends = (_unpack(x) for x in _unpack(blob.as_py())["part"].to_pylist())
-            flat = (numbers["low"].to_numpy().astype(np.uint32) + (numbers["high"].to_numpy().astype(np.uint32) << 16)).tolist()
+            flat = (numbers["low"].to_numpy().astype(np.uint32) + (numbers["high"].to_numpy().astype(np.uint32) << 16))
             offsets = ends["offset"].to_pylist()
             ids, texts = [], []
             for a, b in zip(offsets, offsets[1:], strict=False):
-                places = flat[a:b]
+                places = flat[a:b].tolist()
                 ids.append(b"".join([ids_of[p] for p in places]))  # a missing list is an error, never a short document
                 texts.append(b"".join([text_of[p] for p in places]).decode("utf-8", "replace"))
             out.append(pa.table([names["id"].combine_chunks(), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], schema=schema))
@@ -187,8 +191,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     kind = rows.schema["id"].dataType
     schema = pa.schema([(id_col, to_arrow_type(kind)), ("ids", pa.binary()), ("decoded", pa.string())])
     packed = rows.mapInArrow(_chunks(vocab, chunk_chars, word_buckets), _PACKED).repartition("chunk")
-    lists = packed.where("bucket >= 0").repartition("bucket").mapInArrow(_encode_words(vocab), _PACKED)
-    back = packed.where("bucket < 0").groupBy("chunk").cogroup(lists.groupBy("chunk"))
+    # The two kinds of rows share one exchange: a filter that isn't deterministic stays above it, so that texts are split once.
+    kind_of = F.col("bucket") + F.floor(F.rand()).cast("int")
+    lists = packed.where(kind_of >= 0).repartition("bucket").mapInArrow(_encode_words(vocab), _PACKED)
+    back = packed.where(kind_of < 0).groupBy("chunk").cogroup(lists.groupBy("chunk"))
     return back.applyInArrow(_join_back(vocab, schema), f"`{id_col}` {kind.simpleString()}, ids binary, decoded string")
 
 
