@@ -21,6 +21,6 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
         new = cut(hooked.join(up, "root").select("node", F.least("root", "above").alias("root"), "was"))
-        if not new.where("root < was").limit(1).count():
+        if new.where("root < was").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")

@@ -10,7 +10,7 @@
    falls there with a chance of about 1e-4) aren't verified.
 4. Pairs are verified by exact weighted Jaccard similarity of the whole texts, as a stream: memory for one pair.
 5. Components of the verified links are the classes. A class goes by the least id in it. After a round, bucket mates that still are in
-   different classes are paired again by their classes' other members, until a round links nothing.
+   different classes are paired with more neighbours, in another order.
 
 Defined results: a row without id has a null class and isn't compared. Texts without words (null, empty, only marks) are
 near-duplicates of equal texts only. Texts of fewer than five words have one shingle of all their words. Repeated rows are equal
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix, shingle_hashes, words
+from .common import WordHashes, cut, mix, shared_path, shingle_hashes, words
 from .components import components
 
 WORDS = 5
@@ -36,13 +36,14 @@ EST = 0.55
 IDF_BITS = 20
 SALTS = 1024
 NEIGHBOURS = 3
+STEP = 8192  # shingles that are sampled together
 _TABLE = 1 << 15
 
 
 def _draws(seed: int = 1):
     """Tables of the scheme's random numbers: r and ln c of Gamma(2,1), beta uniform; samples pick entries by hash bits."""
     rng = np.random.default_rng(seed)
-    return rng.gamma(2, 1, _TABLE), np.log(rng.gamma(2, 1, _TABLE)), rng.random(_TABLE)
+    return tuple(x.astype(np.float32) for x in (rng.gamma(2, 1, _TABLE), np.log(rng.gamma(2, 1, _TABLE)), rng.random(_TABLE)))
 
 
 _R, _LN_C, _BETA = _draws()
@@ -66,26 +67,36 @@ class Weigher:
         return u, count * (1 + np.round(mean[first], 6))
 
 
-def samples(u: np.ndarray, w: np.ndarray, k: int = BANDS * ROWS, step: int = 4096) -> np.ndarray:
-    """k consistent weighted samples as 32-bit hashes of (shingle, level)."""
-    out = np.zeros(k, np.int32)
-    ln_w = np.log(w)
+def samples(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS) -> np.ndarray:
+    """k consistent weighted samples of each set that isn't empty, as 32-bit hashes of (shingle, level): a row for each set.
+
+    The sets of a call are worked on together: an array operation covers all their shingles.
+    """
+    sizes = np.array([len(u) for u, _ in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    own = np.repeat(np.arange(len(sets)), sizes)
+    u = np.concatenate([x for x, _ in sets])
+    ln_w = np.log(np.concatenate([w for _, w in sets])).astype(np.float32)
+    out = np.zeros((len(sets), k), np.int32)
     mask, a, b = np.uint64(_TABLE - 1), np.uint64(15), np.uint64(30)
     for j in range(k):
-        best, pick = np.inf, 0
-        for x in range(0, len(u), step):
-            part = u[x : x + step]
-            z = part * _MULT[j]
-            z ^= z >> np.uint64(31)
-            z *= _MULT[128 + j]
-            z >>= np.uint64(17)
-            r, beta = _R[z & mask], _BETA[(z >> a) & mask]
-            t = np.floor(ln_w[x : x + step] / r + beta)
-            ln_a = _LN_C[(z >> b) & mask] - r * (t - beta + 1)
-            at = int(ln_a.argmin())
-            if ln_a[at] < best:
-                best, pick = ln_a[at], (int(part[at]) * 0x9E3779B97F4A7C15 + int(t[at]) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-        out[j] = np.int32(((pick >> 29) ^ pick) & 0x7FFFFFFF)
+        z = u * _MULT[j]
+        z ^= z >> np.uint64(31)
+        z *= _MULT[128 + j]
+        z >>= np.uint64(17)
+        r, beta = _R[z & mask], _BETA[(z >> a) & mask]
+        t = ln_w / r
+        t += beta
+        np.floor(t, t)
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        beta += _LN_C[(z >> b) & mask]  # ln c - r * (t - beta + 1)
+        at = np.flatnonzero(beta == np.repeat(np.minimum.reduceat(beta, starts), sizes))
+        pick = np.empty(len(sets), np.int64)
+        pick[own[at[::-1]]] = at[::-1]  # of equals, the first
+        h = mix(u[pick] * _MULT[200] + t[pick].astype(np.int64).astype(np.uint64) * _MULT[201])
+        out[:, j] = (h >> np.uint64(33)).astype(np.int32)
     return out
 
 
@@ -138,23 +149,28 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
     def run(batches):
         weigh = Weigher(shared.value)
         for batch in batches:
-            sigs = []
-            for t in batch.column(2):
-                u, w = weigh(t.as_py())
-                sigs.append(samples(u, w) if len(u) else None)
+            sigs, held, size = [None] * batch.num_rows, [], 0
+            for k, t in enumerate(batch.column(2)):
+                x = weigh(t.as_py())
+                if len(x[0]):
+                    held.append((k, x))
+                    size += len(x[0])
+                if held and (size >= STEP or k + 1 == batch.num_rows):
+                    for (i, _), sig in zip(held, samples([y for _, y in held]), strict=True):
+                        sigs[i] = sig
+                    held, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.list_(pa.int32()))], schema=schema)
 
     return rows.mapInArrow(run, "id long, key string, sig array<int>")
 
 
-def _pairs(members: DataFrame) -> DataFrame:
+def _pairs(members: DataFrame, neighbours: int) -> DataFrame:
     """members: bucket, key, at (order), root. Pairs a < b of different roots, linear in a bucket's size."""
 
     def within(rows: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("at", "key")
         named = F.struct("key", "root")
-        rows = rows.withColumn("lead", F.first(named).over(w)).withColumn("near", F.array(*[F.lag(named, k).over(w) for k in range(1, NEIGHBOURS + 1)]))
-        return rows
+        return rows.withColumn("lead", F.first(named).over(w)).withColumn("near", F.array(*[F.lag(named, k).over(w) for k in range(1, neighbours + 1)]))
 
     salted = within(members.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(SALTS))), ["bucket", "salt"])
     met = within(salted.where("key = lead.key").select("bucket", "key", "at", "root"), ["bucket"])
@@ -163,20 +179,26 @@ def _pairs(members: DataFrame) -> DataFrame:
     return both.select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarray, least: float, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text) of the nodes: their representatives' rows, found by id, so that equal texts don't meet in one task. Stored once."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null").join(nodes.select("key", F.col("rep").alias("id")), "id")
+    rows = rows.where(F.md5(F.col("text").cast("binary")) == F.col("key")).groupBy("id", "key").agg(F.first("text").alias("text")).select("key", "text")
+    path = shared_path(spark, "neardup-texts")
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema("key string, text string").parquet(path)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """pairs a, b whose texts' weighted Jaccard similarity is at least `least`."""
-    sig = nodes.select("key", "sig", "rep")
+    sig = nodes.select("key", "sig")
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) / F.lit(float(BANDS * ROWS))
-    near = pairs.join(sig.toDF("a", "sig_a", "rep_a"), "a").join(sig.toDF("b", "sig_b", "rep_b"), "b").where(agree >= EST).select("a", "b", "rep_a", "rep_b")
-    near = cut(near)
-    wanted = near.select(F.col("a").alias("key"), F.col("rep_a").alias("id")).union(near.select("b", "rep_b")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null").join(wanted, "id").where(F.md5(F.col("text").cast("binary")) == F.col("key"))
-    texts = cut(texts.groupBy("id", "key").agg(F.first("text").alias("text")).select("key", "text"))
+    near = cut(pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(agree >= EST).select("a", "b"))
     salt = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
     right = near.select("a", "b", salt.alias("salt")).join(texts.withColumnRenamed("key", "b"), "b").select("a", "salt", "b", "text")
     left = near.select("a", salt.alias("salt")).distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit("").alias("b"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = nodes.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         weigh, held, mine = Weigher(shared.value), None, None
@@ -194,7 +216,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, idf: np.ndarr
     return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(run, "a string, b string")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """id_col, class_id (least id of the class), class_size."""
     spark = docs.sparkSession
     idf = word_idf(docs, text_col)
@@ -205,6 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Only buckets with company: counted before they are joined.
     company = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = cut(members.join(company, "bucket"))
+    texts = _texts(docs, nodes.join(members.select("key").distinct(), "key"), id_col, text_col)
     links, tried = spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "a string, b string")
     roots = None
     for k in range(rounds):
@@ -212,13 +235,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rooted = members.withColumn("root", F.col("key"))
         else:
             rooted = members.join(roots.toDF("key", "_root"), "key", "left").select("bucket", "key", F.pmod(F.xxhash64("at", F.lit(k)), F.lit(1 << 31)).cast("int").alias("at"), F.coalesce("_root", "key").alias("root"))
-        pairs = _pairs(rooted)
+        pairs = _pairs(rooted, NEIGHBOURS if k else 1)
         if k:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tried = tried.union(pairs)
-        found = cut(_verified(pairs, nodes, docs, idf, least, id_col, text_col))
-        if k and not found.limit(1).count():
+        found = cut(_verified(pairs, nodes, texts, idf, least))
+        if k and found.isEmpty():
             break
         links = links.union(found)
         roots = components(links)
