@@ -33,38 +33,45 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 
 class Lists:
-    """A block's vectors with a list for each dimension, in ascending order."""
+    """A block's vectors with a list for each dimension, in ascending order. Products are exact: in floats while they fit 53 bits, else in integers."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        self.by = np.argsort(self.x, axis=0, kind="stable")
+        self.by = np.ascontiguousarray(np.argsort(self.x, axis=0, kind="stable").T)
+        self.most = int(np.abs(self.x).max(initial=0))
+        self.real = self.x.astype(np.float64) if self.most < 1 << 53 else None
 
-    def top(self, own: int, q: np.ndarray, k: int, first_depth: int = 16) -> tuple[list[tuple[int, int]], int]:
+    def top(self, own: int, q: np.ndarray, k: int, first_depth: int = 16, step: int = 4) -> tuple[list[tuple[int, int]], int]:
         """[(score, id)] of the k best but for the rows with id own, and how many vectors were scored."""
-        n, dims = self.x.shape
-        used = np.flatnonzero(q)
-        up = q[used] > 0
-        seen = np.zeros(n, bool)
-        best_s, best_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth = 0
-        while depth < n:
-            last, depth = depth, min(n, max(first_depth, depth * 2))
-            if len(used):
-                low, high = self.by[last:depth, used[~up]], self.by[n - depth : n - last, used[up]]
-                at = np.unique(np.concatenate([low.ravel(), high.ravel()]))
+        n = len(self.ids)
+        small = self.real is not None and self.most * int(np.abs(q).max(initial=0)) * max(1, len(q)) < 1 << 53
+        x, q = (self.real, q.astype(np.float64)) if small else (self.x, q)
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        seen, mark = self.ids == own, np.zeros(n, bool)
+        best_s, best_at = np.zeros(0, x.dtype), np.zeros(0, np.int64)
+        depth = 0 if len(up) + len(down) else n
+        while True:
+            last, depth = depth, min(n, max(first_depth, depth * step))
+            if last < n:
+                mark[self.by[down, last:depth]] = True
+                mark[self.by[up, n - depth : n - last]] = True
+                at = np.flatnonzero(mark & ~seen)
             else:
-                at, depth = np.arange(n), n
-            at = at[~seen[at]]
+                at = np.flatnonzero(~seen)
             seen[at] = True
-            at = at[self.ids[at] != own]
-            s = np.concatenate([best_s, self.x[at] @ q])
+            s = np.concatenate([best_s, x[at] @ q])
             at = np.concatenate([best_at, at])
+            if len(s) > k:
+                keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                s, at = s[keep], at[keep]
             keep = np.lexsort((self.ids[at], -s))[:k]
             best_s, best_at = s[keep], at[keep]
-            if len(used) and len(best_s) == k:
-                edge = np.where(up, self.by[n - depth, used], self.by[depth - 1, used])
-                if int((q[used] * self.x[edge, used]).sum()) < best_s[-1]:
+            if depth >= n or seen.all():
+                break
+            if len(best_s) == k:
+                bound = (x[self.by[up, n - depth], up] * q[up]).sum() + (x[self.by[down, depth - 1], down] * q[down]).sum()
+                if bound < best_s[-1]:
                     break
         return [(int(s), int(self.ids[a])) for s, a in zip(best_s, best_at, strict=True)], int(seen.sum())
 
