@@ -42,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied at a fixed size so that a worker's memory stays bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

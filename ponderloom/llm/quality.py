@@ -11,12 +11,13 @@ Repeated rows each give a row. Null ids stay null and are not held out.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes
 from .labelled import SAMPLE, held_out, sample
 
 FEATURES = ("upper", "digit", "exclaim", "bar", "symbol", "other_mark", "white", "line", "adjacent", "distinct", "word_length", "long_words", "lines_repeated", "log_words", "few_words")
@@ -26,9 +27,6 @@ THRESHOLD = 0.5
 
 
 class Measure:
-    def __init__(self):
-        self.hashes = WordHashes()
-
     def __call__(self, text: str | None) -> list[float]:
         raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
         n = max(1, len(raw))
@@ -39,10 +37,9 @@ class Measure:
         other = n - upper - lower - digit - symbol - white - c[33] - c[124]
         parts = (text or "").split()
         k = max(1, len(parts))
-        h = self.hashes.of(parts)
-        same = float((h[1:] == h[:-1]).mean()) if len(h) > 1 else 0.0
+        same = sum(map(eq, parts, parts[1:])) / max(1, len(parts) - 1)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) if parts else np.zeros(1)
-        distinct = len(np.unique(h)) / k
+        distinct = len(set(parts)) / k
         lines = [x for x in (text or "").split("\n") if x.strip()]
         return [
             upper / max(1, upper + lower), digit / n, c[33] / k, c[124] / k, symbol / k, other / k, white / n, c[10] / k, same, distinct * np.log1p(k),
