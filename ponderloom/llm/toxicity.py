@@ -20,8 +20,9 @@ from .common import WordHashes, mix, words
 from .labelled import SAMPLE, held_out, sample
 
 BITS = 20
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
-EPOCHS = 3
+#: L1 is above what one document's gradients can add up to over the epochs, so that a feature needs several documents to get a weight.
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
+EPOCHS = 4
 THRESHOLD = 0.3
 STEM = 5
 
