@@ -125,9 +125,9 @@ def wl_labels(graphs: DataFrame, rounds: int = 3, directed: bool = True) -> Data
     else:
         both = "array_sort(array_distinct(transform(filter(_e, e -> e.src = x.id or e.dst = x.id), e -> if(e.src = x.id, e.dst, e.src))))"
         said = f"array_join(array_sort(transform({both}, y -> element_at(_m, y))), '|')"
-    for k in range(rounds if directed else rounds - 1):
+    for _ in range(rounds if directed else rounds - 1):
         rows = fixed(rows.withColumn("_m", E("map_from_entries(_l)")))
-        rows = fixed(rows.withColumn("_l", E(f"transform(_l, x -> named_struct('id', x.id, 'label', md5(concat('{k}', x.label, '|', {said}))))")))
+        rows = fixed(rows.withColumn("_l", E(f"transform(_l, x -> named_struct('id', x.id, 'label', md5(concat(x.label, '|', {said}))))")))
         rows = rows.withColumn("labels", E("concat(labels, transform(_l, x -> x.label))"))
     return fixed(rows.drop("_l", "_m", "_e"))
 
