@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graphs_q, pairs_q, prune_q, stats_q, text_q
+from . import composed_q, graphs_q, pairs_q, prune_q, stats_q, text_q
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (text_q, graphs_q, pairs_q, prune_q, stats_q):
+for _part in (text_q, graphs_q, pairs_q, prune_q, stats_q, composed_q):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -128,3 +128,32 @@ def write_manifest(path: str, command: str, args: dict, spark: SparkSession | No
     with open(os.path.join(path, "manifest.json"), "w", encoding="utf-8") as out:
         json.dump(said, out, indent=2)
     return said
+
+
+def humaneval(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("task_id string, prompt string, canonical_solution string, test string, entry_point string").json(path)
+
+
+def write_motif_catalog(spark: SparkSession, path: str) -> None:
+    from ..schema import MOTIFS
+
+    rows = [(m, shape, list(counted or ()), list(typed)) for m, (shape, counted, typed) in MOTIFS.items()]
+    spark.createDataFrame(rows, "motif_id string, shape string, counted array<string>, typed array<string>").coalesce(1).write.json(path)
+
+
+def read_motif_catalog(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("motif_id string, shape string, counted array<string>, typed array<string>").json(path)
+
+
+def mixed(parts: list[DataFrame], each: int) -> DataFrame:
+    """The first `each` rows of each source, as one table."""
+    out = None
+    for p in parts:
+        part = p.limit(each)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def stream_answers(spark: SparkSession, path: str, **kw) -> DataFrame:
+    """A stream of trace records from a folder of JSON lines that grows."""
+    return answers(spark.readStream.schema("question string, answer string, subject string, level string, answer_correct boolean").json(path), **kw)
