@@ -35,13 +35,21 @@ def length_type(sentence: Column) -> Column:
 
 
 def negated(sentence: Column) -> Column:
-    low = F.lower(sentence)
-    return F.rlike(low, F.lit("(?U)" + "|".join(f"(?:{p})" for p in NEGATIONS)))
+    return _negated(F.lower(sentence))
+
+
+def once(value: Column, made) -> Column:
+    """made(value), with value worked out a single time: it is bound to a lambda's variable."""
+    return F.get(F.transform(F.array(value), lambda v: made(v)), F.lit(0))
 
 
 def keyword_scores(sentence: Column) -> dict[str, Column]:
-    """Weights of the keywords found, by type; each keyword once. One alternation goes before a type's patterns."""
-    low = strip(F.lower(sentence))
+    """Weights of the keywords found, by type; each keyword once."""
+    return _scores(strip(F.lower(sentence)))
+
+
+def _scores(low: Column) -> dict[str, Column]:
+    """One alternation goes before a type's patterns."""
     out = {}
     for kind, words in KEYWORDS.items():
         any_of = "(?U)" + "|".join(pattern(w) for w, _ in words)
@@ -59,29 +67,43 @@ def _best(scores: dict[str, Column]) -> Column:
     return F.array_max(F.array(*[F.struct(scores[t].alias("score"), F.lit(PRIORITY[t]).alias("priority"), F.lit(t).alias("type")) for t in TYPES]))
 
 
-def _fallback(sentence: Column) -> Column:
-    return F.when(F.rlike(strip(F.lower(sentence)), F.lit(DOUBT)), "Backtrack").otherwise("Transform")
+def _fallback(low: Column) -> Column:
+    return F.when(F.rlike(low, F.lit(DOUBT)), "Backtrack").otherwise("Transform")
+
+
+def _negated(low: Column) -> Column:
+    return F.rlike(low, F.lit("(?U)" + "|".join(f"(?:{p})" for p in NEGATIONS)))
 
 
 def rule_type(sentence: Column, threshold: float = 0.3) -> Column:
     """Node type by weighted keywords; negation means Transform; an equation adds half a point to Transform."""
-    scores = keyword_scores(sentence)
-    scores["Transform"] = scores["Transform"] + F.when(F.rlike(strip(F.lower(sentence)), F.lit("(?U)" + EQUATION)), F.lit(0.5)).otherwise(F.lit(0.0))
-    best = _best(scores)
-    return F.when(negated(sentence), "Transform").when(best["score"] >= threshold, best["type"]).otherwise(_fallback(sentence))
+
+    def made(low: Column) -> Column:
+        scores = _scores(low)
+        scores["Transform"] = scores["Transform"] + F.when(F.rlike(low, F.lit("(?U)" + EQUATION)), F.lit(0.5)).otherwise(F.lit(0.0))
+        sure = once(_best(scores), lambda b: F.when(b["score"] >= threshold, b["type"]))
+        return F.when(_negated(low), "Transform").otherwise(F.coalesce(sure, _fallback(low)))
+
+    return once(strip(F.lower(sentence)), made)
 
 
 def rule_detail(sentence: Column, threshold: float = 0.3) -> Column:
     """struct<type, confidence, fallback>: without the equation's half point; the best score must also hold 0.3 of all."""
-    scores = keyword_scores(sentence)
-    best, total = _best(scores), sum(scores.values(), F.lit(0.0))
-    share = F.when(total > 0, best["score"] / total).otherwise(F.lit(0.0))
-    sure = (best["score"] >= threshold) & (share >= 0.3)
-    return F.struct(
-        F.when(negated(sentence), "Transform").when(sure, best["type"]).otherwise(_fallback(sentence)).alias("type"),
-        F.when(negated(sentence), 0.3).when(sure, share).otherwise(F.lit(0.2)).alias("confidence"),
-        (negated(sentence) | ~sure).alias("fallback"),
-    )
+
+    def made(low: Column) -> Column:
+        scores = F.array(*[F.struct(c.alias("score"), F.lit(PRIORITY[t]).alias("priority"), F.lit(t).alias("type")) for t, c in _scores(low).items()])
+        return once(scores, lambda all_of: once(F.array_max(all_of), lambda best: said(low, best, F.aggregate(all_of, F.lit(0.0), lambda a, x: a + x["score"]))))
+
+    def said(low: Column, best: Column, total: Column) -> Column:
+        share = F.when(total > 0, best["score"] / total).otherwise(F.lit(0.0))
+        sure = (best["score"] >= threshold) & (share >= 0.3)
+        return F.struct(
+            F.when(_negated(low), "Transform").when(sure, best["type"]).otherwise(_fallback(low)).alias("type"),
+            F.when(_negated(low), 0.3).when(sure, share).otherwise(F.lit(0.2)).alias("confidence"),
+            (_negated(low) | ~sure).alias("fallback"),
+        )
+
+    return once(strip(F.lower(sentence)), made)
 
 
 # Answer parsers
