@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..schema import TYPES
 from .lexicon import DOUBT, EQUATION, KEYWORDS, NEGATIONS, PRIORITY, pattern
 
-STRIP = " \t\n\r\f\x0b"
 
 
 def strip(c: Column) -> Column:
@@ -157,7 +156,6 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 #: Words of hedging.
 HEDGES = ("maybe", "perhaps", "possibly", "probably", "likely", "i think", "i believe", "it seems", "might", "could be", "unclear", "not sure", "guess", "assume", "suppose", "roughly", "approximately", "seems like", "appears to", "tentatively")
-OPERATORS = ("=", "+", "-", "*", "/", "^")
 
 
 def _clip(x: Column) -> Column:

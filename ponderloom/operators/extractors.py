@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import rule_type, split_sentences
 from ..schema import NODE
 from .agreement import segments
-from .graph import branching_edges, fixed, normalise_type
+from .graph import branching_edges, fixed, forward_spans, normalise_type
 
 E = F.expr
 
@@ -37,11 +37,7 @@ def extract_segments(traces: DataFrame, text_col: str = "cot_text", classify: Ca
     same = f"coalesce(try_element_at(acc, -1).type, '') = x.type and ((x.type = 'Transform' and not {apart}) or x.type in ('Verify', 'Backtrack'))"
     merged = f"aggregate(_x, cast(array() as array<struct<type:string,texts:array<string>>>), (acc, x) -> if({same}, concat(slice(acc, 1, size(acc) - 1), array(named_struct('type', x.type, 'texts', array_append(element_at(acc, -1).texts, x.text)))), array_append(acc, named_struct('type', x.type, 'texts', array(x.text)))))"
     s = fixed(s.withColumn("_m", E(merged)))
-    length = "if(l > 0, l - 1 + length(element_at(x.texts, -1)), a + length(array_join(x.texts, ' ')))"
-    spans = f"""aggregate(_m, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>)), (acc, x) ->
-        transform(array(if(position(x.texts[0], {text_col}, acc.at + 1) > 0, position(x.texts[0], {text_col}, acc.at + 1) - 1, acc.at)), a ->
-          transform(array(position(element_at(x.texts, -1), {text_col}, a + 1)), l -> named_struct('at', {length}, 'out', array_append(acc.out, named_struct('start', a, 'end', {length}))))[0])[0]).out"""
-    s = fixed(s.withColumn("_q", E(spans)))
+    s = fixed(s.withColumn("_q", forward_spans(text_col)))
     nodes = E(f"cast(transform(_m, (x, i) -> named_struct('id', i + 1, 'type', x.type, 'text', array_join(x.texts, ' '), 'span', _q[i])) as array<{NODE}>)")
     return fixed(fixed(s.withColumn("nodes", nodes).select(*keep, "nodes")).withColumn("edges", branching_edges()))
 

@@ -31,6 +31,17 @@ def branching_edges(nodes: str = "nodes") -> Column:
         e -> e.col2 <= size({nodes}))))"""))
 
 
+def forward_spans(text_col: str, merged: str = "_m") -> Column:
+    """Spans of nodes (structs with texts, in order) found forward in the text: from the first text's place after the node before
+    to the first place of the last text after that. What isn't found begins where the node before ends."""
+    # at: where the search goes on. position() counts from 1, 0 is not found.
+    end = "if(l > 0, l - 1 + length(element_at(x.texts, -1)), a + length(array_join(x.texts, ' ')))"
+    return E(f"""aggregate({merged}, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>)), (acc, x) ->
+        transform(array(if(position(x.texts[0], {text_col}, acc.at + 1) > 0, position(x.texts[0], {text_col}, acc.at + 1) - 1, acc.at)), a ->
+          transform(array(position(element_at(x.texts, -1), {text_col}, a + 1)), l ->
+            named_struct('at', {end}, 'out', array_append(acc.out, named_struct('start', a, 'end', {end}))))[0])[0]).out""")
+
+
 def extract_rules(traces: DataFrame, text_col: str = "cot_text") -> DataFrame:
     """traces plus nodes and edges: sentences typed by rules, runs of Transform merged, spans found forward in the text."""
     s = traces.withColumn("_s", F.transform(split_sentences(F.col(text_col)), lambda x: F.struct(rule_type(x).alias("type"), x.alias("text"))))
@@ -40,13 +51,7 @@ def extract_rules(traces: DataFrame, text_col: str = "cot_text") -> DataFrame:
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('type', x.type, 'texts', array_append(element_at(acc, -1).texts, x.text)))),
            array_append(acc, named_struct('type', x.type, 'texts', array(x.text)))))""")
     s = fixed(s.withColumn("_m", merged))
-    # at: where the search goes on. locate() counts from 1, 0 is not found.
-    spans = E(f"""aggregate(_m, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int>>)), (acc, x) ->
-        transform(array(if(position(x.texts[0], {text_col}, acc.at + 1) > 0, position(x.texts[0], {text_col}, acc.at + 1) - 1, acc.at)), a ->
-          transform(array(position(element_at(x.texts, -1), {text_col}, a + 1)), l ->
-            named_struct('at', if(l > 0, l - 1 + length(element_at(x.texts, -1)), a + length(array_join(x.texts, ' '))),
-              'out', array_append(acc.out, named_struct('start', a, 'end', if(l > 0, l - 1 + length(element_at(x.texts, -1)), a + length(array_join(x.texts, ' '))))))
-          )[0])[0]).out""")
+    spans = forward_spans(text_col)
     s = fixed(s.withColumn("_p", spans))
     nodes = E(f"cast(transform(_m, (x, i) -> named_struct('id', i + 1, 'type', x.type, 'text', array_join(x.texts, ' '), 'span', _p[i])) as array<{NODE}>)")
     return fixed(fixed(s.withColumn("nodes", nodes).drop("_s", "_m", "_p")).withColumn("edges", branching_edges()))

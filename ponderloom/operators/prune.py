@@ -76,8 +76,6 @@ def regions(graphs: DataFrame) -> DataFrame:
 
 def fuse(rows: DataFrame) -> DataFrame:
     """Confidence of regions with nodes as the weighted mean of structure, 1 - calibration and 1 - reward (those that cfg uses)."""
-    from pyspark.sql.types import DoubleType  # noqa: F401
-
     scored = F.transform("nodes", lambda n, i: F.struct(
         n["id"].alias("id"), calibration_score(n["text"], n["type"]).alias("cal"), reward_score(n["text"], F.when(i > 0, F.get(F.col("nodes"), i - 1)["text"])).alias("rew"),
     ))
