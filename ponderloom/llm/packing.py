@@ -17,6 +17,7 @@ Other columns are left behind. An empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import json
 from functools import cache
 
 import numpy as np
@@ -144,3 +145,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             yield from bundle()
 
     return rows.mapInArrow(run, f"bundle string, row int, ids binary, lengths array<int>, positions binary, segments array<struct<id:{kind.simpleString()},start:bigint,tokens:bigint>>")
+
+
+
+def matrix(column: pa.Array, dtype: str = "<u2") -> np.ndarray:
+    """The rows of a binary column (ids or positions) as a matrix, a row for each packed row."""
+    data = [np.frombuffer(x.as_py(), dtype) for x in column]
+    return np.stack(data) if data else np.zeros((0, 0), dtype)
+
+
+def write(rows: DataFrame, path: str, dtype: str = "<u2") -> None:
+    """Packed rows below path/rows; path/meta says how to read the binary columns. The rows' table is written as it is made, by the tasks."""
+    rows.write.parquet(f"{path}/rows")
+    meta = json.dumps({"dtype": dtype, "matrices": ["ids", "positions"], "cumulative_lengths": "lengths", "documents": "segments"})
+    rows.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/meta")
+
+
+def read(spark, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/meta").first()["value"])

@@ -49,3 +49,14 @@ def test_odd_rows(odd, no_rows):
     got = unpacked(rows, 128)
     assert got[1].tolist() == got[2].tolist() == [50256] and len(got) == odd.where("doc_id <> 5").select("doc_id").distinct().count()
     assert packing.pack(no_rows).collect() == []
+
+
+def test_written_matrices(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    packing.write(packing.pack(docs, length=256), str(tmp_path / "p"))
+    rows, meta = packing.read(spark, str(tmp_path / "p"))
+    t = rows.toArrow()
+    ids, places = (packing.matrix(t[c], meta["dtype"]) for c in meta["matrices"])
+    assert ids.shape == places.shape == (rows.count(), 256)
+    for k, ends in enumerate(t[meta["cumulative_lengths"]].to_pylist()):
+        assert (places[k][ends[:-1]] == 0).all() and ends[-1] <= 256
