@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, releasing
+
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK_CHARS = 24 << 20
@@ -127,8 +129,9 @@ def _chunks(vocab: str, chunk_chars: int, buckets: int):
                 ids.append(batch.column(0).slice(start))
         if rows:
             yield from chunk()
+        ids, rows, places = [], [], {}
 
-    return run
+    return releasing(run)
 
 
 def _encode_words(vocab: str):
@@ -150,34 +153,65 @@ def _encode_words(vocab: str):
                 out.append(_pack(pa.table({"at": t["at"], "ids": pa.array(got, narrow)})))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], schema=_PACKED_ARROW)
 
-    return run
+    return releasing(run)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _binary(kind: pa.DataType, parts: list[np.ndarray], sizes: np.ndarray) -> pa.Array:
+    """A binary or string array of the bytes in parts, cut into sizes, without an object for each value."""
+    data = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    large = pa.large_binary() if kind == pa.binary() else pa.large_string()
+    return pa.Array.from_buffers(large, len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data.view(np.uint8))]).cast(kind)
+
 
+def _join_back(vocab: str, schema: pa.Schema, step: int = 1 << 18):
+    """Ids and bytes of a chunk's words lie in two flat arrays; a document's are gathered by its positions, `step` words at a time."""
 
-def _join_back(vocab: str, schema: pa.Schema):
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
         pieces = _vocabulary(vocab)[1]
-        ids_of: dict[int, bytes] = {}
-        text_of: dict[int, bytes] = {}
+        piece_size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        piece_data, piece_start = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(piece_size) - piece_size
+        at, ids, sizes = [], [], []
         for blob in lists["packed"]:
             t = _unpack(blob.as_py()).combine_chunks()
-            said = t["ids"].chunk(0) if t["ids"].num_chunks else pa.array([], pa.list_(pa.uint32()))
-            raw, ends = said.flatten().to_numpy().astype("<u4"), (said.offsets.to_numpy() - (said.offsets[0].as_py() if len(said) else 0)).tolist()
-            data, flat = raw.tobytes(), [pieces[i] for i in raw.tolist()]
-            for at, a, b in zip(t["at"].to_pylist(), ends, ends[1:], strict=False):
-                ids_of[at] = data[4 * a : 4 * b]
-                text_of[at] = b"".join(flat[a:b])
+            if len(t):
+                said = t["ids"].chunk(0)
+                at.append(t["at"].to_numpy().astype(np.int64))
+                ids.append(said.flatten().to_numpy().astype(np.uint32))
+                sizes.append(np.diff(said.offsets.to_numpy()))
+        at, ids, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, ids, sizes))
+        n = int(at.max(initial=-1)) + 1
+        if len(at) != n or (n and np.bincount(at, minlength=n).max() > 1):
+            raise ValueError("a chunk's word lists aren't whole")  # never a short document
+        size, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        size[at], start[at] = sizes, np.cumsum(sizes) - sizes
+        # The id-to-piece join: bytes of all words' ids, one after the other; a word's bytes are those of its ids.
+        id_size = piece_size[ids]
+        data = piece_data[_spread(piece_start[ids], id_size)]
+        ends = np.concatenate([[0], np.cumsum(id_size)])
+        text_start, text_size = ends[start], ends[start + size] - ends[start]
         out = []
         for blob in docs["packed"]:
-            names, numbers, ends = (_unpack(x) for x in _unpack(blob.as_py())["part"].to_pylist())
-            flat = (numbers["low"].to_numpy().astype(np.uint32) + (numbers["high"].to_numpy().astype(np.uint32) << 16))
-            offsets = ends["offset"].to_pylist()
-            ids, texts = [], []
-            for a, b in zip(offsets, offsets[1:], strict=False):
-                places = flat[a:b].tolist()
-                ids.append(b"".join([ids_of[p] for p in places]))  # a missing list is an error, never a short document
-                texts.append(b"".join([text_of[p] for p in places]).decode("utf-8", "replace"))
-            out.append(pa.table([names["id"].combine_chunks(), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+            names, numbers, cuts = (_unpack(x) for x in _unpack(blob.as_py())["part"].to_pylist())
+            places = numbers["low"].to_numpy().astype(np.int64) + (numbers["high"].to_numpy().astype(np.int64) << 16)
+            cuts = cuts["offset"].to_numpy()
+            id_parts, text_parts = [], []
+            for k in range(0, len(places), step):
+                p = places[k : k + step]
+                id_parts.append(ids[_spread(start[p], size[p])].astype("<u4"))
+                text_parts.append(data[_spread(text_start[p], text_size[p])])
+            total = lambda of: np.diff(np.concatenate([[0], np.cumsum(of[places])])[cuts])
+            out.append(pa.table([names["id"].combine_chunks(), _binary(pa.binary(), id_parts, 4 * total(size)), _binary(pa.string(), text_parts, total(text_size))], schema=schema))
+        got = pa.concat_tables(out) if out else schema.empty_table()
+        del out
+        release()
+        return got
 
     return run
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix, shared_path, shingle_hashes, words
+from .common import WordHashes, cut, mix, releasing, shared_path, shingle_hashes, words
 from .components import components
 
 WORDS = 5
@@ -132,7 +132,7 @@ def word_idf(docs: DataFrame, text_col: str = "text", bits: int = IDF_BITS) -> n
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "rows": pa.array([sum(table["rows"].to_pylist())], pa.int64()), "n": pa.array([n.astype("<i8").tobytes()], pa.binary())})
 
     kind = "part int, rows long, n binary"
-    got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).collect()
+    got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(count), kind).groupBy("part").applyInArrow(add, kind).collect()
     df, rows = np.zeros(1 << bits, np.int64), 1
     for r in got:
         df[r["part"] * size : (r["part"] + 1) * size], rows = np.frombuffer(r["n"], "<i8"), r["rows"]
@@ -161,7 +161,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.list_(pa.int32()))], schema=schema)
 
-    return rows.mapInArrow(run, "id long, key string, sig array<int>")
+    return rows.mapInArrow(releasing(run), "id long, key string, sig array<int>")
 
 
 def _pairs(members: DataFrame, neighbours: int) -> DataFrame:
@@ -213,7 +213,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndar
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string())], ["a", "b"])
 
-    return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(run, "a string, b string")
+    return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(releasing(run), "a string, b string")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = 2) -> DataFrame:

@@ -97,12 +97,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs plus out_col."""
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
+    from pyspark.sql.functions import arrow_udf
 
+    @arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         measure = Measure()
-        return pd.Series(model.scores(np.array([measure(t) for t in texts]).reshape(-1, len(FEATURES))))
+        return pa.array(model.scores(np.array([measure(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))), pa.float64())
 
     return docs.withColumn(out_col, scored(F.col(text_col).cast("string")))
 
