@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..schema import TYPES
 from .graph import fixed, type_codes
 from .metrics import level1, normalised, type_count
@@ -64,15 +65,16 @@ def type_vector(nodes: str = "nodes") -> Column:
 
 
 def type_jsd(x, y) -> Column:
-    """Square root of the natural divergence of two type counts, with 1e-10 in sums and logarithms."""
-    def share(v):
-        return F.transform(v, lambda a: a / (F.aggregate(v, F.lit(0.0), lambda s, b: s + b) + 1e-10))
+    """Square root of the natural divergence of two type counts, with 1e-10 in sums and logarithms. Sums and shares are bound once."""
 
-    def kl(a, b):
+    def shared(v, made) -> Column:
+        total = F.aggregate(v, F.lit(0.0), lambda s, b: s + b) + 1e-10
+        return once(total, lambda t: once(F.transform(v, lambda a: a / t), made))
+
+    def kl(a, b) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda p, q: p * F.log((p + 1e-10) / ((p + q) / 2 + 1e-10))), F.lit(0.0), lambda s, v: s + v)
 
-    p, q = share(x), share(y)
-    return F.sqrt(F.greatest((kl(p, q) + kl(q, p)) / 2, F.lit(0.0)))
+    return shared(x, lambda p: shared(y, lambda q: F.sqrt(F.greatest((kl(p, q) + kl(q, p)) / 2, F.lit(0.0)))))
 
 
 def _ratio(a, b) -> Column:
