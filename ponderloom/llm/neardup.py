@@ -4,13 +4,16 @@
    words' IDF. A shingle of five words weighs tf * (1 + mean IDF of its words, scaled to 0..1).
 2. Each text's weighted shingles leave BANDS * ROWS consistent samples; two texts agree on one with the probability of
    their weighted Jaccard similarity. Bands of ROWS samples are bucket keys.
-3. Equal texts become one node first. In a bucket each node is paired with the bucket's first node and its neighbours in the order of
+3. Equal texts become one node first. In a bucket each node is paired with the bucket's first node and its neighbour in the order of
    another sample: a number of pairs linear in the bucket. Buckets are dealt into salted parts whose first nodes meet again,
    so that no task gets a large bucket. Pairs that agree on too few samples to be likely (under EST; a similarity of 0.8
    falls there with a chance of about 1e-4) aren't verified.
 4. Pairs are verified by exact weighted Jaccard similarity of the whole texts, as a stream: memory for one pair.
-5. Components of the verified links are the classes. A class goes by the least id in it. After a round, bucket mates that still are in
-   different classes are paired with more neighbours, in another order.
+5. Components of the verified links are the classes. A class goes by the least id in it. After that, in each bucket that still holds
+   several classes, all pairs of different classes are held against EST and those that pass are verified. Large buckets are dealt into
+   cells of two parts each, so that every pair meets in one cell. A node gets FIRST of its mates first and GROWTH times as many in each further
+   round, as most classes grow together early; the rounds end when no node has a mate left out. Work grows with the square of
+   the different texts of a bucket that stay in different classes, and only there.
 
 Defined results: a row without id has a null class and isn't compared. Texts without words (null, empty, only marks) are
 near-duplicates of equal texts only. Texts of fewer than five words have one shingle of all their words. Repeated rows are equal
@@ -35,7 +38,9 @@ BANDS, ROWS = 12, 3
 EST = 0.55
 IDF_BITS = 20
 SALTS = 1024
-NEIGHBOURS = 3
+CELL = 512  # nodes of a part of a bucket
+FIRST, GROWTH = 8, 16
+HELD = 1 << 20  # shingles of weighed texts that are remembered
 STEP = 8192  # shingles that are sampled together
 _TABLE = 1 << 15
 
@@ -164,7 +169,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
     return rows.mapInArrow(releasing(run), "id long, key string, sig array<int>")
 
 
-def _pairs(members: DataFrame, neighbours: int) -> DataFrame:
+def _pairs(members: DataFrame, neighbours: int = 1) -> DataFrame:
     """members: bucket, key, at (order), root. Pairs a < b of different roots, linear in a bucket's size."""
 
     def within(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -179,6 +184,74 @@ def _pairs(members: DataFrame, neighbours: int) -> DataFrame:
     return both.select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b")).distinct()
 
 
+def likely(sig: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, step: int = 128):
+    """(i, j, more) of the pairs of left and right (places in sig) of different roots that pass EST; where both are the same, each once.
+    A place of left gets the `most` that agree best; more: it has others."""
+    same = left is right
+    for k in range(0, len(left), step):
+        rows = left[k : k + step]
+        mates = right[k:] if same else right
+        agree = np.zeros((len(rows), len(mates)), np.uint8)
+        for x, y in zip(sig[rows].T, sig[mates].T, strict=True):
+            agree += x[:, None] == y
+        fits = (agree >= EST * sig.shape[1]) & (root[rows][:, None] != root[mates])
+        if same:
+            fits = np.triu(fits, 1)
+        for r in np.flatnonzero(fits.any(axis=1)):
+            at = np.flatnonzero(fits[r])
+            more = len(at) > most
+            if more:
+                at = at[np.argsort(-agree[r, at].astype(np.int16), kind="stable")[:most]]
+            for j in mates[at]:
+                yield rows[r], j, more
+
+
+def _rest(members: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """members: bucket, key, root. Pairs a < b of bucket mates of different roots that pass EST; more: others were left out."""
+    mixed = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", F.ceil(F.col("c") / CELL).cast("int").alias("parts"))
+    rows = members.select("bucket", "key", "root").join(mixed, "bucket").join(nodes.select("key", "sig"), "key")
+    part = F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int")
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "key", "root", "sig")
+
+    def run(batches):
+        out = []
+
+        def cell(got: list[tuple]):
+            keys = [r[1] for r in got]
+            names = {r: k for k, r in enumerate({r[2] for r in got})}
+            if len(names) < 2:
+                return
+            root, part, sig = np.array([names[r[2]] for r in got]), np.array([r[0] for r in got]), np.stack([r[3] for r in got])
+            low = np.flatnonzero(part == part.min())
+            high = np.flatnonzero(part != part.min())
+            for i, j, more in likely(sig, root, low, high if len(high) else low, most):
+                out.append((min(keys[i], keys[j]), max(keys[i], keys[j]), bool(more)))
+
+        def batch():
+            got = list(zip(*out, strict=True)) or [[], [], []]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.string()), pa.array(got[1], pa.string()), pa.array(got[2], pa.bool_())], ["a", "b", "more"])
+
+        held, at = [], None
+        for b in batches:
+            sigs = b.column(6).flatten().to_numpy().reshape(b.num_rows, -1)
+            for k, (bucket, x, y, part, key, root) in enumerate(zip(*[b.column(c).to_pylist() for c in range(6)], strict=True)):
+                if (bucket, x, y) != at:
+                    # A cell of two parts of which one is empty has nothing that its parts' own cells don't have.
+                    if held and (at[1] == at[2] or len({r[0] for r in held}) == 2):
+                        cell(held)
+                    held, at = [], (bucket, x, y)
+                    if len(out) >= STEP:
+                        yield batch()
+                held.append((part, key, root, sigs[k]))
+        if held and (at[1] == at[2] or len({r[0] for r in held}) == 2):
+            cell(held)
+        yield batch()
+
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(releasing(run), "a string, b string, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, text) of the nodes: their representatives' rows, found by id, so that equal texts don't meet in one task. Stored once."""
     spark = docs.sparkSession
@@ -190,18 +263,23 @@ def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Dat
     return spark.read.schema("key string, text string").parquet(path)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """pairs a, b whose texts' weighted Jaccard similarity is at least `least`."""
+def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs a, b that agree on enough samples."""
     sig = nodes.select("key", "sig")
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) / F.lit(float(BANDS * ROWS))
-    near = cut(pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(agree >= EST).select("a", "b"))
+    return pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(agree >= EST).select("a", "b")
+
+
+def _verified(near: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Of the pairs a, b, those whose texts' weighted Jaccard similarity is at least `least`."""
     salt = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
     right = near.select("a", "b", salt.alias("salt")).join(texts.withColumnRenamed("key", "b"), "b").select("a", "salt", "b", "text")
     left = near.select("a", salt.alias("salt")).distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit("").alias("b"), "text")
-    shared = nodes.sparkSession.sparkContext.broadcast(idf)
+    shared = near.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         weigh, held, mine = Weigher(shared.value), None, None
+        known, size = {}, 0
         for batch in batches:
             out = []
             for a, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
@@ -209,14 +287,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, idf: np.ndar
                     held, mine = a, weigh(t.as_py())
                 elif held != a:
                     raise ValueError("a pair came before its first text")
-                elif similarity(mine, weigh(t.as_py())) >= least:
-                    out.append((a, b))
+                else:
+                    if b not in known:
+                        if size > HELD:
+                            known, size = {}, 0
+                        known[b] = weigh(t.as_py())
+                        size += len(known[b][0])
+                    if similarity(mine, known[b]) >= least:
+                        out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string())], ["a", "b"])
 
     return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(releasing(run), "a string, b string")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """id_col, class_id (least id of the class), class_size."""
     spark = docs.sparkSession
     idf = word_idf(docs, text_col)
@@ -228,23 +312,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     company = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = cut(members.join(company, "bucket"))
     texts = _texts(docs, nodes.join(members.select("key").distinct(), "key"), id_col, text_col)
-    links, tried = spark.createDataFrame([], "a string, b string"), spark.createDataFrame([], "a string, b string")
-    roots = None
-    for k in range(rounds):
-        if roots is None:
-            rooted = members.withColumn("root", F.col("key"))
-        else:
-            rooted = members.join(roots.toDF("key", "_root"), "key", "left").select("bucket", "key", F.pmod(F.xxhash64("at", F.lit(k)), F.lit(1 << 31)).cast("int").alias("at"), F.coalesce("_root", "key").alias("root"))
-        pairs = _pairs(rooted, NEIGHBOURS if k else 1)
-        if k:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+    tried = cut(_passing(_pairs(members.withColumn("root", F.col("key"))), nodes))
+    links = cut(_verified(tried, texts, idf, least))
+    roots, most, more = components(links), FIRST, True
+    while more:
+        rooted = members.join(roots.toDF("key", "_root"), "key", "left").select("bucket", "key", F.coalesce("_root", "key").alias("root"))
+        rest = cut(_rest(rooted, nodes, most))
+        more, most = not rest.where("more").isEmpty(), most * GROWTH
+        pairs = cut(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        found = cut(_verified(pairs, texts, idf, least))
         tried = tried.union(pairs)
-        found = cut(_verified(pairs, nodes, texts, idf, least))
-        if k and found.isEmpty():
-            break
-        links = links.union(found)
-        roots = components(links)
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = components(links)
     named = nodes.join(roots.toDF("key", "root"), "key", "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"))
     classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     by_key = named.join(classes, "root").select("key", "class_id", "class_size")

@@ -88,3 +88,13 @@ def test_components(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_mixed_family(spark):
+    """Copies edited each on its own from one original: most pairs are just below the threshold, some above."""
+    rng = random.Random(8)
+    w = text(rng, 200)
+    docs = [(k, " ".join(edited(rng, w, rng.choice((3, 8))))) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got, want = classes(neardup.near_duplicates(df).collect()), brute(docs, neardup.word_idf(df))
+    assert len(set(want.values())) > 20 and got == want
