@@ -10,6 +10,7 @@ from ..operators import agreement as A
 from ..operators import fingerprint as FP
 from ..operators import graph as G
 from ..operators import metrics as M
+from ..operators import motifs as MO
 from ..operators import nulls as N
 from ..operators import similarity as S
 from ..operators import stats as B
@@ -330,12 +331,23 @@ def cost_rollup(spark, sf):
     return _rounded(B.costs(spark), "cost")
 
 
+_ER_TOPOLOGY = [*(f"motif_{m.lower()}" for m in MOTIF_ORDER), "depth", "branching", "verify_density", "entropy", "graph_length", "graph_difficulty"]
+
+
+def _er_rows(spark, sf):
+    """Label, length, difficulty and the 18 features of a graph, which are 0 where nothing was extracted."""
+    graphs = G.fixed(MO.with_counts(event_graphs(spark, sf)).withColumn("_p", MO.presence("typed")))
+    rows = M.graph_metrics(graphs, "user_id", "nodes", "_p")
+    rows = rows.select("trace_id", ((F.col("user_id") + F.col("n_nodes")) % 2).cast("double").alias("label"), (F.col("user_id") % 10 != 0).alias("extracted"), "depth", "branching", "verify_density", "entropy", F.col("n_nodes").cast("double").alias("cot_length"), (F.col("user_id") % 7 / 7).alias("difficulty"), "_p")
+    rows = rows.withColumns({f"motif_{m.lower()}": F.get("_p", k) for k, m in enumerate(MOTIF_ORDER)} | {"graph_length": F.col("cot_length"), "graph_difficulty": F.col("difficulty")})
+    return rows.select("trace_id", "label", "extracted", "cot_length", "difficulty", *[F.when(F.col("extracted"), F.col(c)).otherwise(0.0).alias(c) for c in _ER_TOPOLOGY])
+
+
 def er_prediction(spark, sf):
     """Prediction of a label from motifs and metrics, corrected for traces that gave no graph."""
-    rows = M.graph_metrics(event_graphs(spark, sf), "user_id", "nodes")
-    rows = rows.select("trace_id", ((F.col("user_id") + F.col("n_nodes")) % 2).cast("double").alias("label"), (F.col("user_id") % 10 != 0).alias("extracted"), "depth", "branching", "verify_density", "entropy", F.col("n_nodes").cast("double").alias("cot_length"), (F.col("user_id") % 7 / 7).alias("difficulty"))
-    rows = rows.select("trace_id", "label", "extracted", "cot_length", "difficulty", *[F.when(F.col("extracted"), F.col(c)).otherwise(0.0).alias(c) for c in ("depth", "branching", "verify_density", "entropy")])
-    r = B.er_corrected(rows, ["depth", "branching", "verify_density", "entropy"], folds=2)
+    rows = _er_rows(spark, sf).persist()
+    r = B.er_corrected(rows, _ER_TOPOLOGY)
+    rows.unpersist()
     return spark.createDataFrame([(k, float(v)) for k, v in r.items()], "measure string, value double")
 
 
