@@ -210,7 +210,7 @@ def step_rebuild(spark, sf):
 
 def step_classifier(spark, sf):
     rows = ST.labelled(_lossy(spark, sf))
-    return ST.StepClassifier(iterations=20).fit(rows).diagnose(rows)
+    return ST.StepClassifier().fit(rows).diagnose(rows)
 
 
 # Fingerprints: users modulo five are the models
@@ -318,7 +318,7 @@ def bootstrap_ci(spark, sf):
 
 
 def bootstrap_rho_ci(spark, sf):
-    return B.bootstrap_rho(_metrics(spark, sf).select(F.col("depth").alias("x"), F.col("label").alias("y")), 200)
+    return B.bootstrap_rho(_metrics(spark, sf).select(F.col("depth").alias("x"), F.col("label").alias("y")))
 
 
 def power_analysis(spark, sf):

@@ -19,3 +19,23 @@ def test_er_prediction_has_motifs_and_five_folds(spark, sf, monkeypatch):
     for r in got["rows"]:
         assert [r[f"motif_{m.lower()}"] for m in MOTIF_ORDER] == [want[r.trace_id, m] if r.extracted else 0.0 for m in MOTIF_ORDER]
         assert r.graph_length == (r.cot_length if r.extracted else 0.0)
+
+
+def test_trees_and_draws_are_the_operators_defaults(spark, sf, monkeypatch):
+    got = []
+
+    class Fitted:
+        def __init__(self, iterations=100, depth=3, seed=42):
+            got.append(iterations)
+
+        def fit(self, rows):
+            return self
+
+        def diagnose(self, rows):
+            return rows
+
+    monkeypatch.setattr(Q.ST, "StepClassifier", Fitted)
+    monkeypatch.setattr(Q.B, "bootstrap_rho", lambda rows, draws=500, seed=42: got.append(draws))
+    Q.step_classifier(spark, sf)
+    Q.bootstrap_rho_ci(spark, sf)
+    assert got == [100, 500]
