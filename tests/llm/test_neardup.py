@@ -98,3 +98,15 @@ def test_mixed_family(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got, want = classes(neardup.near_duplicates(df).collect()), brute(docs, neardup.word_idf(df))
     assert len(set(want.values())) > 20 and got == want
+
+
+def test_no_pair_of_a_hot_bucket_is_left_out(spark):
+    """One bucket of 10,500 different texts, 40 of which are near copies of others: all pairs that agree enough are found."""
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 30, (10_500, 36)).astype(np.int32)
+    want = {(f"{k:05}", f"{k + 7000:05}") for k in range(40)}
+    sig[7000:7040, :27] = sig[:40, :27]
+    sig[:, :3] = 1
+    nodes = spark.createDataFrame([(f"{k:05}", s) for k, s in enumerate(sig.tolist())], "key string, sig array<int>")
+    rows = nodes.selectExpr("1L as bucket", "key", "key as root")
+    assert {(r.a, r.b) for r in neardup._rest(rows, nodes, 8).collect()} == want
