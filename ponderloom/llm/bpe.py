@@ -18,6 +18,7 @@ the input, whatever their names, are left behind. An empty table gives an empty
 
 from __future__ import annotations
 
+import itertools
 import json
 from functools import cache
 
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,9 +92,11 @@ def _chunks(vocab: str, chunk_chars: int, buckets: int):
     def run(batches):
         split = _splitter(vocab)
         ids, rows, places, size = [], [], {}, 0
+        # A chunk's place: the same in a retry, another for equal chunks.
+        task, number = TaskContext.get().partitionId(), itertools.count()
 
         def chunk():
-            out, digest = [], xxhash.xxh3_128()
+            out, digest = [], xxhash.xxh3_128(f"{task} {next(number)}")
             flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
             # Two halves compress better than whole numbers: frequent words have small positions.

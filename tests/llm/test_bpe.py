@@ -45,3 +45,8 @@ def test_decode_by_join(spark, tokenizer):
     texts = ["Hello wörld <|endoftext|>", "", "漢字 again"]
     rows = spark.createDataFrame([(k, tokenizer.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)] + [(9, None)], "k int, ids array<int>")
     assert {r.k: r.decoded for r in bpe.decode(rows).collect()} == dict(enumerate(texts)) | {9: ""}
+
+
+def test_equal_chunks(spark, tokenizer):
+    docs = spark.createDataFrame([(k, f"text {k} here") for k in range(4)], "doc_id long, text string").coalesce(1)
+    check(bpe.encode(docs.union(docs)).collect(), [(r.doc_id, r.text) for r in docs.collect()] * 2, tokenizer)
