@@ -14,6 +14,7 @@ take no part. Queries that share an id are one (that with the least vector); rep
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -26,10 +27,12 @@ QUERIES = 4096
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """id, v array<long>: floor(scale * x)."""
+    """id, v array<long>: floor(scale * x). Fails where that leaves 64 bits."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**52)))).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))))
+    whole = lambda x: F.when(F.abs(x * scale) < F.lit(2.0**63), F.floor(x * scale).cast("long")).otherwise(F.raise_error(F.lit("a component leaves 64 bits")).cast("long"))
+    return rows.select("id", F.transform("v", whole).alias("v"))
 
 
 class Lists:
@@ -42,9 +45,19 @@ class Lists:
         self.most = int(np.abs(self.x).max(initial=0))
         self.real = self.x.astype(np.float64) if self.most < 1 << 53 else None
 
+    def _in_full(self, own: int, q: list[int], k: int) -> list[tuple[int, int]]:
+        """As top, in numbers of any size; fails where a score of the best leaves 64 bits."""
+        scored = ((-sum(a * b for a, b in zip(v, q, strict=True)), i) for i, v in zip(self.ids.tolist(), map(np.ndarray.tolist, self.x), strict=True) if i != own)
+        best = [(-s, i) for s, i in heapq.nsmallest(k, scored)]
+        if any(not -(1 << 63) <= s < 1 << 63 for s, _ in best):
+            raise OverflowError("a score leaves 64 bits")
+        return best
+
     def top(self, own: int, q: np.ndarray, k: int, first_depth: int = 16, step: int = 4) -> tuple[list[tuple[int, int]], int]:
         """[(score, id)] of the k best but for the rows with id own, and how many vectors were scored."""
         n = len(self.ids)
+        if self.most * max(map(abs, q.tolist()), default=0) * len(q) >= 1 << 63:
+            return self._in_full(own, q.tolist(), k), n
         small = self.real is not None and self.most * int(np.abs(q).max(initial=0)) * max(1, len(q)) < 1 << 53
         x, q = (self.real, q.astype(np.float64)) if small else (self.x, q)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)

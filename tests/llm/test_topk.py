@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from ponderloom.llm import topk
 
@@ -49,3 +50,13 @@ def test_stops_early():
     lists = topk.Lists(np.arange(5000), x)
     got, seen = lists.top(-1, np.array([3, 0]), 5)
     assert seen < 200 and [s for s, _ in got] == sorted((3 * x[:, 0]).tolist(), reverse=True)[:5]
+
+
+def test_large_components(spark):
+    rows = [(0, [2.0**53, 1.0], "x"), (50, [1.0, 1.0], "x"), (1, [-(2.0**53), 0.5], "x"), (2, [0.0, 1.0], "x")]
+    x = np.array([[-(1 << 61), 128], [0, 256], [1, 0]], np.int64)
+    assert topk.Lists(np.array([1, 2, 3]), x).top(0, np.array([1, 256]), 2)[0] == [(1 << 16, 2), (1, 3)]
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, rows)
+    small = [(0, [0.0, 1.0], "x"), (1, [2.0**53, 1.0], "x"), (2, [0.0, 0.5], "x")]
+    assert run(spark, small) == {0: [(1, 1, 1 << 16), (2, 2, 1 << 15)]}
