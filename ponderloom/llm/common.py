@@ -95,6 +95,98 @@ def shingle_hashes(word_hashes: np.ndarray, n: int = 5) -> np.ndarray:
     return mix(out)
 
 
+SPAN = 1 << 18  # characters whose words are hashed together
+_IS_WORD = None
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base modulo 2^64 and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_BASE, _INVERSE)):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+def _is_word() -> np.ndarray:
+    """Which code points are letters, digits or underscores (as \\w has them)."""
+    global _IS_WORD
+    if _IS_WORD is None:
+        _IS_WORD = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+        _IS_WORD[ord("_")] = True
+    return _IS_WORD
+
+
+def _pieces(text: str, span: int):
+    """text in pieces that end between words."""
+    start = 0
+    while len(text) - start > span:
+        end = start + span
+        gap = NO_WORD.search(text, end)
+        end = gap.end() if gap else len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
+NO_WORD = re.compile(r"\W")
+
+
+def word_hashes(texts: list[str | None], span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the lower-case texts, one text after the other, and each text's number of words.
+
+    A word's hash is a polynomial in hashes of its code points, taken from running sums: array operations over all characters.
+    """
+    pieces, of = [], []
+    for k, t in enumerate(texts):
+        if t:
+            for x in _pieces(t.lower(), span):
+                pieces.append(x)
+                of.append(k)
+    out, owner, k = [], [], 0
+    while k < len(pieces):
+        first, size = k, 0
+        while k < len(pieces) and (k == first or size + len(pieces[k]) < span):
+            size += len(pieces[k]) + 1
+            k += 1
+        some = pieces[first:k]
+        codes = np.frombuffer("\n".join([*some, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = _is_word()[codes]
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        starts, ends = edges[0::2], edges[1::2]
+        power, inverse = _powers(len(codes))
+        z = codes.astype(np.uint64) + np.uint64(1)
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        z ^= z >> np.uint64(32)
+        z *= np.uint64(0xA0761D6478BD642F)
+        z *= power[: len(z)]
+        total = np.zeros(len(z) + 1, np.uint64)
+        np.cumsum(z, out=total[1:])
+        out.append(mix((total[ends] - total[starts]) * inverse[starts]))
+        after = np.cumsum([len(x) + 1 for x in some])
+        owner.append(np.asarray(of[first:k])[np.searchsorted(after, starts, "right")])
+    h = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    counts = np.bincount(np.concatenate(owner), minlength=len(texts)) if owner else np.zeros(len(texts), np.int64)
+    return h, counts
+
+
+def shingle_sets(texts: list[str | None], n: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingles, in ascending order, and how often each occurs."""
+    h, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    every = shingle_hashes(h, n) if len(h) >= n else h[:0]
+    out = []
+    for end, k in zip(ends.tolist(), counts.tolist(), strict=True):
+        s = np.sort(every[end - k : end - n + 1]) if k >= n else shingle_hashes(h[end - k : end], n)
+        new = np.flatnonzero(np.concatenate([s[:1] == s[:1], s[1:] != s[:-1]]))
+        out.append((s[new], np.diff(new, append=len(s))))
+    return out
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 

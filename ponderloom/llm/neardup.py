@@ -1,7 +1,9 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-1. A count of documents for each word (hashed to 2^IDF_BITS counters: a bounded table, over all documents) gives the
-   words' IDF. A shingle of five words weighs tf * (1 + mean IDF of its words, scaled to 0..1).
+1. Shingles of five words weigh tf * (1 + idf). A count-min sketch (SKETCH rows of 2^SKETCH_BITS counters, over all documents) counts the
+   documents of each shingle; idf is log(N / df) on a scale where it is 0 for a shingle of all N documents and 1 for those of a share of FLOOR
+   of them or less, in LEVELS steps. The sketch's error is a fixed share of N, about half of FLOOR's, at any size of the input. The 1
+   keeps a family of very many copies together: its common shingles are frequent, its copies' own edits are rare.
 2. Each text's weighted shingles leave BANDS * ROWS consistent samples; two texts agree on one with the probability of
    their weighted Jaccard similarity. Bands of ROWS samples are bucket keys.
 3. Equal texts become one node first. In a bucket each node is paired with the bucket's first node and its neighbour in the order of
@@ -15,9 +17,10 @@
    round, as most classes grow together early; the rounds end when no node has a mate left out. Work grows with the square of
    the different texts of a bucket that stay in different classes, and only there.
 
-Defined results: a row without id has a null class and isn't compared. Texts without words (null, empty, only marks) are
-near-duplicates of equal texts only. Texts of fewer than five words have one shingle of all their words. Repeated rows are equal
-texts. Other columns are left behind.
+Defined results: ids are cast to long (a text that is no number fails). A row without id is compared like others; a class of such rows alone has a
+null class id. Texts without words (null, empty, only marks) are near-duplicates of equal texts only. Texts of fewer than five words have one
+shingle of all their words. Texts of any length are taken whole, in pieces of SPAN characters. Repeated rows are equal texts; different texts
+under one id are nodes of their own, told apart by text_key. An empty table gives an empty table. Other columns are left behind.
 """
 
 from __future__ import annotations
@@ -29,78 +32,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix, releasing, shared_path, shingle_hashes, words
+from .common import SPAN, cut, mix, releasing, shared_path, shingle_sets
 from .components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 EST = 0.55
-IDF_BITS = 20
+SKETCH, SKETCH_BITS = 2, 20
+FLOOR = 2.0**-10
+LEVELS = 16
 SALTS = 1024
 CELL = 512  # nodes of a part of a bucket
 FIRST, GROWTH = 8, 16
 HELD = 1 << 20  # shingles of weighed texts that are remembered
-STEP = 8192  # shingles that are sampled together
-_TABLE = 1 << 15
+STEP = 32_768  # shingles that are sampled together
+_BITS = 16  # of a draw's place in the tables
 
+_ROW = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_MULT = np.random.default_rng(2).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def _draws(seed: int = 1):
-    """Tables of the scheme's random numbers: r and ln c of Gamma(2,1), beta uniform; samples pick entries by hash bits."""
-    rng = np.random.default_rng(seed)
-    return tuple(x.astype(np.float32) for x in (rng.gamma(2, 1, _TABLE), np.log(rng.gamma(2, 1, _TABLE)), rng.random(_TABLE)))
 
+def _tables(seed: int = 1):
+    """The scheme's random numbers: r and ln c of Gamma(2,1), beta uniform. Samples pick entries by bits of a hash. For the weights
+    of a single occurrence (by level), ln a of every entry is worked out beforehand."""
+    rng, n = np.random.default_rng(seed), 1 << _BITS
+    r, ln_c, beta = (x.astype(np.float32) for x in (rng.gamma(2, 1, n), np.log(rng.gamma(2, 1, n)), rng.random(n)))
+    ln_w = np.log(1 + np.arange(LEVELS) / (LEVELS - 1)).astype(np.float32)[:, None]
+    t = np.floor(ln_w / r + beta)
+    return r, ln_c, beta, (ln_c - r * (t - beta + 1)).ravel()
+
+
+_R, _LN_C, _BETA, _LN_A = _tables()
 
-_R, _LN_C, _BETA = _draws()
-_MULT = np.random.default_rng(2).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+def sketch_places(u: np.ndarray) -> list[np.ndarray]:
+    """A counter of each row of the sketch for each shingle."""
+    return [(mix(u * m) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) for m in _ROW[:SKETCH]]
 
 
 class Weigher:
-    def __init__(self, idf: np.ndarray):
-        self.idf, self.hashes, self.shift = idf, WordHashes(), np.uint64(64 - int(len(idf)).bit_length() + 1)
+    """levels: idf in steps, a row of counters after the other."""
+
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels.reshape(SKETCH, -1)
+
+    def many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text: distinct shingles in ascending order, how often each occurs, and its idf's level."""
+        sets = shingle_sets(texts, WORDS)
+        if not sets:
+            return []
+        least, at = None, sketch_places(np.concatenate([u for u, _ in sets]))
+        for row, place in zip(self.levels, at, strict=True):
+            least = row[place] if least is None else np.maximum(least, row[place])  # the least count is the greatest idf
+        ends = np.cumsum([len(u) for u, _ in sets])
+        return [(u, tf, x) for (u, tf), x in zip(sets, np.split(least, ends[:-1]), strict=True)]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles in ascending order, and their weights."""
-        h = self.hashes.of(words(text))
-        if not len(h):
-            return h, np.zeros(0)
-        s = shingle_hashes(h, WORDS)
-        n = min(WORDS, len(h))
-        total = np.concatenate([[0.0], np.cumsum(self.idf[mix(h) >> self.shift])])
-        mean = (total[n:] - total[:-n]) / n
-        u, first, count = np.unique(s, return_index=True, return_counts=True)
-        return u, count * (1 + np.round(mean[first], 6))
-
-
-def samples(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS) -> np.ndarray:
-    """k consistent weighted samples of each set that isn't empty, as 32-bit hashes of (shingle, level): a row for each set.
-
-    The sets of a call are worked on together: an array operation covers all their shingles.
-    """
-    sizes = np.array([len(u) for u, _ in sets])
+        """Shingles and their weights."""
+        u, tf, level = self.many([text])[0]
+        return u, weights(tf, level)
+
+
+def weights(tf: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return tf * (1 + level / (LEVELS - 1))
+
+
+def samples(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int = BANDS * ROWS) -> np.ndarray:
+    """k consistent weighted samples of each set (shingles, occurrences, levels) that isn't empty, as 32-bit hashes of (shingle, level of
+    the draw): a row for each set. The sets of a call are worked on together: an array operation covers all their shingles."""
+    sizes = np.array([len(x[0]) for x in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     own = np.repeat(np.arange(len(sets)), sizes)
-    u = np.concatenate([x for x, _ in sets])
-    ln_w = np.log(np.concatenate([w for _, w in sets])).astype(np.float32)
+    u, tf, level = (np.concatenate([x[c] for x in sets]) for c in range(3))
+    ln_w = np.log(weights(tf, level)).astype(np.float32)
+    base, several = level.astype(np.int64) << _BITS, np.flatnonzero(tf > 1)
+    w_several = ln_w[several]
     out = np.zeros((len(sets), k), np.int32)
-    mask, a, b = np.uint64(_TABLE - 1), np.uint64(15), np.uint64(30)
     for j in range(k):
         z = u * _MULT[j]
         z ^= z >> np.uint64(31)
         z *= _MULT[128 + j]
-        z >>= np.uint64(17)
-        r, beta = _R[z & mask], _BETA[(z >> a) & mask]
-        t = ln_w / r
-        t += beta
-        np.floor(t, t)
-        beta -= t
-        beta -= np.float32(1)
-        beta *= r
-        beta += _LN_C[(z >> b) & mask]  # ln c - r * (t - beta + 1)
-        at = np.flatnonzero(beta == np.repeat(np.minimum.reduceat(beta, starts), sizes))
+        z >>= np.uint64(64 - _BITS)
+        at = z.view(np.int64)
+        a = _LN_A[base + at]
+        if len(several):
+            e = at[several]
+            a[several] = _LN_C[e] - _R[e] * (np.floor(w_several / _R[e] + _BETA[e]) - _BETA[e] + 1)
+        found = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, starts), sizes))
         pick = np.empty(len(sets), np.int64)
-        pick[own[at[::-1]]] = at[::-1]  # of equals, the first
-        h = mix(u[pick] * _MULT[200] + t[pick].astype(np.int64).astype(np.uint64) * _MULT[201])
+        pick[own[found[::-1]]] = found[::-1]  # of equals, the first
+        e = at[pick]
+        t = np.floor(ln_w[pick] / _R[e] + _BETA[e])
+        h = mix(u[pick] * _MULT[200] + t.astype(np.int64).astype(np.uint64) * _MULT[201])
         out[:, j] = (h >> np.uint64(33)).astype(np.int32)
     return out
 
@@ -116,54 +140,81 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return float(least / (a.sum() + b.sum() - least))
 
 
-def word_idf(docs: DataFrame, text_col: str = "text", bits: int = IDF_BITS) -> np.ndarray:
-    """IDF of each counter, scaled to 0..1, over all rows. Counts are summed by slices on the executors; the driver gets 4 MB."""
-    parts, size = 64, (1 << bits) // 64
+def parts_of(texts: list[str | None], span: int = SPAN):
+    """(start, end) of runs of texts of about `span` characters: what is worked on together."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= span:
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def idf_levels(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The idf level of each counter of the sketch, over all rows. Counts are summed by slices on the executors; the driver gets
+    SKETCH * 2^SKETCH_BITS numbers (16 MB)."""
+    parts, n_all = 64, SKETCH << SKETCH_BITS
+    size = n_all // parts
 
     def count(batches):
-        n, rows, hashes, shift = np.zeros(1 << bits, np.int64), 0, WordHashes(), np.uint64(64 - bits)
+        n, rows, seen = np.zeros(n_all, np.int64), 0, 0
         for batch in batches:
-            for text in batch.column(0):
-                rows += 1
-                w = set(words(text.as_py()))
-                if w:
-                    n[np.unique(mix(hashes.of(list(w))) >> shift)] += 1
+            texts = batch.column(0).to_pylist()
+            for a, b in parts_of(texts):
+                u = [x for x, _ in shingle_sets(texts[a:b], WORDS)]
+                u = np.concatenate(u) if u else np.zeros(0, np.uint64)
+                rows, seen = rows + b - a, seen + len(u)
+                for k, at in enumerate(sketch_places(u)):
+                    np.add.at(n, at + (k << SKETCH_BITS), 1)
         if rows:
             blobs = [zlib.compress(n[k * size : (k + 1) * size].astype("<i8").tobytes(), 1) for k in range(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([rows] * parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "rows", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([rows] * parts, pa.int64()), pa.array([seen] * parts, pa.int64()), pa.array(blobs, pa.binary())], ["part", "rows", "seen", "n"])
 
-    def add(table: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(zlib.decompress(b.as_py()), "<i8") for b in table["n"])
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "rows": pa.array([sum(table["rows"].to_pylist())], pa.int64()), "n": pa.array([n.astype("<i8").tobytes()], pa.binary())})
-
-    kind = "part int, rows long, n binary"
-    got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(count), kind).groupBy("part").applyInArrow(add, kind).collect()
-    df, rows = np.zeros(1 << bits, np.int64), 1
+    def add(batches):
+        """The slices' counts, added as they come."""
+        held = {}
+        for batch in batches:
+            for part, r, s, blob in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                total = held.setdefault(part, [0, 0, np.zeros(size, np.int64)])
+                total[0], total[1] = total[0] + r, total[1] + s
+                total[2] += np.frombuffer(zlib.decompress(blob), "<i8")
+        for part, (r, s, total) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([r], pa.int64()), pa.array([s], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "rows", "seen", "n"])
+
+    kind = "part int, rows long, seen long, n binary"
+    got = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(releasing(count), kind).repartition("part").mapInArrow(add, kind).collect()
+    n, rows, seen = np.zeros(n_all, np.int64), 1, 0
     for r in got:
-        df[r["part"] * size : (r["part"] + 1) * size], rows = np.frombuffer(r["n"], "<i8"), r["rows"]
-    return (np.log((1 + rows) / (1 + df)) / np.log(1 + rows)).astype(np.float32)
+        n[r["part"] * size : (r["part"] + 1) * size], rows, seen = np.frombuffer(zlib.decompress(r["n"]), "<i8"), r["rows"], r["seen"]
+    df = np.maximum(n - seen / (1 << SKETCH_BITS), max(1.0, FLOOR * rows))  # without what other shingles leave in a counter on average
+    idf = np.clip(np.log(rows / np.minimum(df, rows)) / -np.log(FLOOR), 0, 1)
+    return np.round(idf * (LEVELS - 1)).astype(np.uint8)
 
 
-def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, levels: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """id, key (MD5 of the text), sig (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)  # 4 MB by IDF_BITS
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # a byte for each counter of the sketch
     schema = pa.schema([("id", pa.int64()), ("key", pa.string()), ("sig", pa.list_(pa.int32()))])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("key"), text.alias("text")).where("id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
 
     def run(batches):
         weigh = Weigher(shared.value)
         for batch in batches:
-            sigs, held, size = [None] * batch.num_rows, [], 0
-            for k, t in enumerate(batch.column(2)):
-                x = weigh(t.as_py())
-                if len(x[0]):
-                    held.append((k, x))
-                    size += len(x[0])
-                if held and (size >= STEP or k + 1 == batch.num_rows):
-                    for (i, _), sig in zip(held, samples([y for _, y in held]), strict=True):
-                        sigs[i] = sig
-                    held, size = [], 0
+            texts = batch.column(2).to_pylist()
+            sigs = [None] * len(texts)
+            for a, b in parts_of(texts):
+                held, size = [], 0
+                for k, x in enumerate(weigh.many(texts[a:b]), a):
+                    if len(x[0]):
+                        held.append((k, x))
+                        size += len(x[0])
+                    if held and (size >= STEP or k + 1 == b):
+                        for (i, _), sig in zip(held, samples([y for _, y in held]), strict=True):
+                            sigs[i] = sig
+                        held, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.list_(pa.int32()))], schema=schema)
 
     return rows.mapInArrow(releasing(run), "id long, key string, sig array<int>")
@@ -253,13 +304,13 @@ def _rest(members: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, text) of the nodes: their representatives' rows, found by id, so that equal texts don't meet in one task. Stored once."""
+    """(key, text) of the nodes: their representatives' rows, found by id and key, so that equal texts don't meet in one task. Stored once."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null").join(nodes.select("key", F.col("rep").alias("id")), "id")
-    rows = rows.where(F.md5(F.col("text").cast("binary")) == F.col("key")).groupBy("id", "key").agg(F.first("text").alias("text")).select("key", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
+    rows = rows.join(nodes.select("key", F.col("rep").alias("_rep")), (F.col("id").eqNullSafe(F.col("_rep"))) & (rows["key"] == nodes["key"])).select(rows["key"], "text")
     path = shared_path(spark, "neardup-texts")
-    rows.write.option("compression", "zstd").parquet(path)
+    rows.dropDuplicates(["key"]).write.option("compression", "zstd").parquet(path)
     return spark.read.schema("key string, text string").parquet(path)
 
 
@@ -270,64 +321,69 @@ def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(agree >= EST).select("a", "b")
 
 
-def _verified(near: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+def _verified(near: DataFrame, texts: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
     """Of the pairs a, b, those whose texts' weighted Jaccard similarity is at least `least`."""
     salt = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
     right = near.select("a", "b", salt.alias("salt")).join(texts.withColumnRenamed("key", "b"), "b").select("a", "salt", "b", "text")
     left = near.select("a", salt.alias("salt")).distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit("").alias("b"), "text")
-    shared = near.sparkSession.sparkContext.broadcast(idf)
+    shared = near.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         weigh, held, mine = Weigher(shared.value), None, None
         known, size = {}, 0
         for batch in batches:
+            first, second, texts = (batch.column(c).to_pylist() for c in (0, 2, 3))
             out = []
-            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                if not b:
-                    held, mine = a, weigh(t.as_py())
-                elif held != a:
-                    raise ValueError("a pair came before its first text")
-                else:
-                    if b not in known:
-                        if size > HELD:
-                            known, size = {}, 0
-                        known[b] = weigh(t.as_py())
-                        size += len(known[b][0])
-                    if similarity(mine, known[b]) >= least:
-                        out.append((a, b))
+            for start, end in parts_of(texts):
+                new = {}
+                for k in range(start, end):
+                    name = second[k] or first[k]
+                    if name not in known:
+                        new[name] = texts[k]
+                if size > HELD:
+                    new |= {second[k] or first[k]: texts[k] for k in range(start, end)}
+                    known, size = {}, 0
+                for name, (u, tf, level) in zip(new, weigh.many(list(new.values())), strict=True):
+                    known[name] = u, weights(tf, level)
+                    size += len(u)
+                for k in range(start, end):
+                    if not second[k]:
+                        held, mine = first[k], known[first[k]]
+                    elif held != first[k]:
+                        raise ValueError("a pair came before its first text")
+                    elif similarity(mine, known[second[k]]) >= least:
+                        out.append((first[k], second[k]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string())], ["a", "b"])
 
     return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(releasing(run), "a string, b string")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """id_col, class_id (least id of the class), class_size."""
-    spark = docs.sparkSession
-    idf = word_idf(docs, text_col)
-    sigs = cut(signatures(docs, idf, id_col, text_col))
+    """id_col, class_id (least id of the class), class_size (rows), text_key (MD5 of the row's text), class_key (that of one text with the class's id)."""
+    levels = idf_levels(docs, text_col)
+    sigs = cut(signatures(docs, levels, id_col, text_col))
     nodes = cut(sigs.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")))
     bands = F.array(*[F.struct(F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + k] for k in range(ROWS)]).alias("bucket"), F.col("sig")[(b + 1) * ROWS % (BANDS * ROWS)].alias("at")) for b in range(BANDS)])
     members = nodes.where("sig is not null").select("key", F.explode(bands).alias("m")).select("m.bucket", "key", "m.at")
     # Only buckets with company: counted before they are joined.
     company = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = cut(members.join(company, "bucket"))
-    texts = _texts(docs, nodes.join(members.select("key").distinct(), "key"), id_col, text_col)
+    texts = _texts(docs, nodes.select("key", "rep").join(members.select("key").distinct(), "key"), id_col, text_col)
     tried = cut(_passing(_pairs(members.withColumn("root", F.col("key"))), nodes))
-    links = cut(_verified(tried, texts, idf, least))
+    links = cut(_verified(tried, texts, levels, least))
     roots, most, more = components(links), FIRST, True
     while more:
         rooted = members.join(roots.toDF("key", "_root"), "key", "left").select("bucket", "key", F.coalesce("_root", "key").alias("root"))
         rest = cut(_rest(rooted, nodes, most))
         more, most = not rest.where("more").isEmpty(), most * GROWTH
         pairs = cut(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        found = cut(_verified(pairs, texts, idf, least))
+        found = cut(_verified(pairs, texts, levels, least))
         tried = tried.union(pairs)
         if not found.isEmpty():
             links = links.union(found)
             roots = components(links)
-    named = nodes.join(roots.toDF("key", "root"), "key", "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"))
-    classes = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    by_key = named.join(classes, "root").select("key", "class_id", "class_size")
-    out = sigs.select("id", "key").join(by_key, "key").select(F.col("id").alias(id_col), "class_id", "class_size")
-    without = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return out.unionByName(without)
+    named = nodes.select("key", "rep", "n").join(roots.toDF("key", "root"), "key", "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"))
+    first = F.min(F.struct(F.col("rep").isNull(), F.col("rep").alias("rep"), F.col("key").alias("key"))).alias("first")
+    classes = named.groupBy("root").agg(first, F.sum("n").alias("class_size")).select("root", F.col("first.rep").alias("class_id"), "class_size", F.col("first.key").alias("class_key"))
+    by_key = named.select("key", "root").join(classes, "root").select("key", "class_id", "class_size", "class_key")
+    return sigs.select("id", "key").join(by_key, "key").select(F.col("id").alias(id_col), "class_id", "class_size", F.col("key").alias("text_key"), "class_key")
