@@ -65,10 +65,10 @@ def test_simhash_blocks_and_votes(spark):
     assert sum(bits) == (1 << 64) - 1 and len(bits) == D.RADIUS + 1
 
 
-def test_shuffled_path_finds_the_same(spark, sf, monkeypatch):
+def test_parts_of_the_benchmark_find_the_same(spark, sf, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     a = sorted(D.contaminated(docs, items).collect())
-    monkeypatch.setattr(D, "BROADCAST_RUNS", 0)
+    monkeypatch.setattr(D, "BROADCAST_RUNS", 500)
     assert sorted(D.contaminated(docs, items).collect()) == a
 
 
@@ -85,3 +85,20 @@ def test_native(spark, sf, name):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = getattr(D, name)(docs, items)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_texts_are_not_shuffled(spark, sf):
+    """One exchange by key, of what is found; all else stays with the scan of the documents."""
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    D.contaminated(docs, items).collect()
+    plan = D.contaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
+    documents = [x for x in plan.split("\n") if "Exchange hashpartitioning(id" in x]
+    assert len(documents) == 1 and "SortMergeJoin" not in plan
+
+
+def test_by_text_tells_documents_of_one_id_apart(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    docs = spark.createDataFrame([(3, "one two three four five six seven eight"), (3, "a clean text of some other words"), (None, "so one two three four five six seven eight")], "doc_id long, text string")
+    keys = {r.text_key for r in D.contaminated(docs, items, by_text=True).collect()}
+    clean = docs.selectExpr("md5(text) k", "text").where("text like 'a clean%'").first().k
+    assert len(keys) == 2 and clean not in keys
