@@ -6,16 +6,15 @@
    keeps a family of very many copies together: its common shingles are frequent, its copies' own edits are rare.
 2. Each text's weighted shingles leave BANDS * ROWS consistent samples; two texts agree on one with the probability of
    their weighted Jaccard similarity. Bands of ROWS samples are bucket keys.
-3. Equal texts become one node first. In a bucket each node is paired with the bucket's first node and its neighbour in the order of
-   another sample: a number of pairs linear in the bucket. Buckets are dealt into salted parts whose first nodes meet again,
-   so that no task gets a large bucket. Pairs that agree on too few samples to be likely (under EST; a similarity of 0.8
-   falls there with a chance of about 1e-4) aren't verified.
-4. Pairs are verified by exact weighted Jaccard similarity of the whole texts, as a stream: memory for one pair.
-5. Components of the verified links are the classes. A class goes by the least id in it. After that, in each bucket that still holds
-   several classes, all pairs of different classes are held against EST and those that pass are verified. Large buckets are dealt into
-   cells of two parts each, so that every pair meets in one cell. A node gets FIRST of its mates first and GROWTH times as many in each further
-   round, as most classes grow together early; the rounds end when no node has a mate left out. Work grows with the square of
-   the different texts of a bucket that stay in different classes, and only there.
+3. Equal texts become one node first. Nodes of a bucket whose samples agree on a share of EST or more are likely (a similarity of 0.8 falls below
+   with a chance of about 1e-4). Each bucket leaves the edges of a spanning forest of its likely pairs: fewer rows than it has nodes. Their components
+   are groups; no likely pair crosses two of them.
+4. A group's texts meet once. There, all likely pairs that share a band and aren't in one class yet are verified by exact weighted Jaccard
+   similarity, a text against all its mates in one array operation; the links that join two classes are left: again a spanning forest.
+5. Buckets and groups of more than CELL nodes (groups also by PART_CHARS) are dealt into parts. Parts are worked on by themselves first; then, with what was
+   joined, every two parts meet in a cell. So no task gets a large group, and every pair meets in one cell. Work in a cell grows with the square
+   of the different texts that stay in different classes, rows and memory don't.
+6. Components of the links are the classes. A class goes by the least id in it.
 
 Defined results: ids are cast to long (a text that is no number fails). A row without id is compared like others; a class of such rows alone has a
 null class id. Texts without words (null, empty, only marks) are near-duplicates of equal texts only. Texts of fewer than five words have one
@@ -29,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPAN, cut, mix, releasing, shared_path, shingle_sets
@@ -42,10 +41,8 @@ EST = 0.55
 SKETCH, SKETCH_BITS = 2, 20
 FLOOR = 2.0**-10
 LEVELS = 16
-SALTS = 1024
-CELL = 512  # nodes of a part of a bucket
-FIRST, GROWTH = 8, 16
-HELD = 1 << 20  # shingles of weighed texts that are remembered
+CELL = 4096  # nodes of a part
+PART_CHARS = 16 << 20  # characters of a part's texts
 STEP = 32_768  # shingles that are sampled together
 _BITS = 16  # of a draw's place in the tables
 
@@ -95,7 +92,8 @@ class Weigher:
 
 
 def weights(tf: np.ndarray, level: np.ndarray) -> np.ndarray:
-    return tf * (1 + level / (LEVELS - 1))
+    """tf * (1 + idf) in whole numbers, LEVELS - 1 to the unit: sums are exact."""
+    return tf * (LEVELS - 1 + level.astype(np.int64))
 
 
 def samples(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int = BANDS * ROWS) -> np.ndarray:
@@ -105,7 +103,7 @@ def samples(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int = BAND
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     own = np.repeat(np.arange(len(sets)), sizes)
     u, tf, level = (np.concatenate([x[c] for x in sets]) for c in range(3))
-    ln_w = np.log(weights(tf, level)).astype(np.float32)
+    ln_w = np.log(weights(tf, level) / (LEVELS - 1)).astype(np.float32)
     base, several = level.astype(np.int64) << _BITS, np.flatnonzero(tf > 1)
     w_several = ln_w[several]
     out = np.zeros((len(sets), k), np.int32)
@@ -220,142 +218,142 @@ def signatures(docs: DataFrame, levels: np.ndarray, id_col: str, text_col: str)
     return rows.mapInArrow(releasing(run), "id long, key string, sig array<int>")
 
 
-def _pairs(members: DataFrame, neighbours: int = 1) -> DataFrame:
-    """members: bucket, key, at (order), root. Pairs a < b of different roots, linear in a bucket's size."""
-
-    def within(rows: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("at", "key")
-        named = F.struct("key", "root")
-        return rows.withColumn("lead", F.first(named).over(w)).withColumn("near", F.array(*[F.lag(named, k).over(w) for k in range(1, neighbours + 1)]))
-
-    salted = within(members.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(SALTS))), ["bucket", "salt"])
-    met = within(salted.where("key = lead.key").select("bucket", "key", "at", "root"), ["bucket"])
-    both = salted.select("key", "root", "lead", "near").unionByName(met.select("key", "root", "lead", "near"))
-    both = both.select("key", "root", F.explode(F.array_append("near", F.col("lead"))).alias("o")).where("o is not null and o.key <> key and o.root <> root")
-    return both.select(F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b")).distinct()
-
-
-def likely(sig: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, step: int = 128):
-    """(i, j, more) of the pairs of left and right (places in sig) of different roots that pass EST; where both are the same, each once.
-    A place of left gets the `most` that agree best; more: it has others."""
-    same = left is right
+class Sets:
+    """The weighted shingles of a cell's texts, in flat arrays of places in the cell's list of shingles."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sizes = np.array([len(u) for u, _ in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        names, at = np.unique(np.concatenate([u for u, _ in sets]), return_inverse=True)
+        self.at, self.w = at.astype(np.int32), np.concatenate([w for _, w in sets])
+        self.total = np.add.reduceat(self.w, self.starts)  # sets aren't empty
+        self.here = np.zeros(len(names), np.int64)
+
+    def similar(self, i: int, others: np.ndarray, least: float, step: int = 1 << 20) -> np.ndarray:
+        """Which of the others have a weighted Jaccard similarity of at least `least` with i."""
+        own = slice(self.starts[i], self.starts[i] + self.sizes[i])
+        self.here[self.at[own]] = self.w[own]
+        shared, k = np.zeros(len(others), np.int64), 0
+        while k < len(others):
+            end = k + max(1, int(np.searchsorted(np.cumsum(self.sizes[others[k:]]), step, "right")))
+            some = others[k:end]
+            sizes = self.sizes[some]
+            first = np.cumsum(sizes) - sizes
+            places = np.repeat(self.starts[some] - first, sizes) + np.arange(sizes.sum())
+            shared[k:end] = np.add.reduceat(np.minimum(self.here[self.at[places]], self.w[places]), first)
+            k = end
+        self.here[self.at[own]] = 0
+        return shared / (self.total[i] + self.total[others] - shared) >= least
+
+
+def forest(sig: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, sets: Sets | None = None, least: float = SIMILARITY, step: int = 64):
+    """(i, j) of likely pairs of left and right (places in sig), one for each two classes that they join. With sets, only pairs that share a
+    band and are similar. root: the class of each place at the start, as a number; changed in place."""
+    same, enough = left is right, EST * sig.shape[1]
+    columns = np.ascontiguousarray(sig[right].T)
     for k in range(0, len(left), step):
         rows = left[k : k + step]
-        mates = right[k:] if same else right
-        agree = np.zeros((len(rows), len(mates)), np.uint8)
-        for x, y in zip(sig[rows].T, sig[mates].T, strict=True):
-            agree += x[:, None] == y
-        fits = (agree >= EST * sig.shape[1]) & (root[rows][:, None] != root[mates])
-        if same:
-            fits = np.triu(fits, 1)
-        for r in np.flatnonzero(fits.any(axis=1)):
+        agree = np.zeros((len(rows), len(right)), np.uint8)
+        banded = np.zeros(agree.shape, bool) if sets else None
+        for b in range(0, sig.shape[1], ROWS):
+            both = [sig[rows, c][:, None] == columns[c] for c in range(b, b + ROWS)]
+            for x in both:
+                agree += x
+            if sets:
+                banded |= np.logical_and.reduce(both)
+        fits = agree >= enough
+        if sets:
+            fits &= banded
+        for r in range(len(rows)):
+            i = rows[r]
             at = np.flatnonzero(fits[r])
-            more = len(at) > most
-            if more:
-                at = at[np.argsort(-agree[r, at].astype(np.int16), kind="stable")[:most]]
-            for j in mates[at]:
-                yield rows[r], j, more
+            if same:
+                at = at[at > k + r]
+            mates = right[at]
+            mates = mates[root[mates] != root[i]]
+            if len(mates) and sets:
+                mates = mates[sets.similar(i, mates, least)]
+            if len(mates):
+                found, first = np.unique(root[mates], return_index=True)
+                root[np.isin(root, found)] = root[i]
+                for j in mates[first]:
+                    yield i, j
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The nodes with their text: their representatives' rows, found by id and key, so that equal texts don't meet in one task. Stored once."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("_key"), text.alias("text"))
+    rows = rows.join(nodes, F.col("id").eqNullSafe(F.col("rep")) & (F.col("_key") == F.col("key"))).select(*[c for c in nodes.columns if c != "rep"], "text")
+    path = shared_path(spark, "neardup-texts")
+    rows.dropDuplicates(["key"]).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
-def _rest(members: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """members: bucket, key, root. Pairs a < b of bucket mates of different roots that pass EST; more: others were left out."""
-    mixed = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", F.ceil(F.col("c") / CELL).cast("int").alias("parts"))
-    rows = members.select("bucket", "key", "root").join(mixed, "bucket").join(nodes.select("key", "sig"), "key")
+def _joined(rows: DataFrame, across: bool, levels=None, least: float = SIMILARITY) -> DataFrame:
+    """rows: of, parts, key, root, sig, text (with levels: texts are verified). The pairs a, b of `forest`, in each part by itself or across every two."""
     part = F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int")
-    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "key", "root", "sig")
+    rows = rows.withColumn("part", part)
+    if across:
+        others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("part"))
+        rows = rows.where("parts > 1").withColumn("other", F.explode(others))
+    else:
+        rows = rows.withColumn("other", F.col("part"))
+    rows = rows.select("of", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "key", "root", "sig", *(["text"] if levels is not None else []))
+    shared = rows.sparkSession.sparkContext.broadcast(levels) if levels is not None else None
 
     def run(batches):
-        out = []
-
-        def cell(got: list[tuple]):
-            keys = [r[1] for r in got]
-            names = {r: k for k, r in enumerate({r[2] for r in got})}
-            if len(names) < 2:
+        weigh, out = Weigher(shared.value) if shared else None, []
+
+        def cell(got: dict):
+            """got: key -> (part, root, sig, set)."""
+            names: dict = {}
+            keys, held = list(got), list(got.values())
+            root = np.array([names.setdefault(h[1], len(names)) for h in held])
+            part = np.array([h[0] for h in held])
+            if len(names) < 2 or (across and part.min() == part.max()):
                 return
-            root, part, sig = np.array([names[r[2]] for r in got]), np.array([r[0] for r in got]), np.stack([r[3] for r in got])
             low = np.flatnonzero(part == part.min())
-            high = np.flatnonzero(part != part.min())
-            for i, j, more in likely(sig, root, low, high if len(high) else low, most):
-                out.append((min(keys[i], keys[j]), max(keys[i], keys[j]), bool(more)))
+            high = np.flatnonzero(part != part.min()) if across else low
+            for i, j in forest(np.stack([h[2] for h in held]), root, low, high, Sets([h[3] for h in held]) if shared else None, least):
+                out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
 
         def batch():
-            got = list(zip(*out, strict=True)) or [[], [], []]
+            got = list(zip(*out, strict=True)) or [[], []]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.string()), pa.array(got[1], pa.string()), pa.array(got[2], pa.bool_())], ["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.string()), pa.array(got[1], pa.string())], ["a", "b"])
 
-        held, at = [], None
+        held, at = {}, None
         for b in batches:
             sigs = b.column(6).flatten().to_numpy().reshape(b.num_rows, -1)
-            for k, (bucket, x, y, part, key, root) in enumerate(zip(*[b.column(c).to_pylist() for c in range(6)], strict=True)):
-                if (bucket, x, y) != at:
-                    # A cell of two parts of which one is empty has nothing that its parts' own cells don't have.
-                    if held and (at[1] == at[2] or len({r[0] for r in held}) == 2):
-                        cell(held)
-                    held, at = [], (bucket, x, y)
-                    if len(out) >= STEP:
-                        yield batch()
-                held.append((part, key, root, sigs[k]))
-        if held and (at[1] == at[2] or len({r[0] for r in held}) == 2):
+            texts = b.column(7).to_pylist() if shared else [""] * b.num_rows
+            columns = [b.column(c).to_pylist() for c in range(6)]
+            for start, end in parts_of(texts):
+                sets = [(u, weights(tf, level)) for u, tf, level in weigh.many(texts[start:end])] if shared else [None] * (end - start)
+                for k, (of, x, y, part, key, root) in enumerate(zip(*(c[start:end] for c in columns), strict=True)):
+                    if (of, x, y) != at:
+                        if len(held) > 1:
+                            cell(held)
+                        held, at = {}, (of, x, y)
+                        if len(out) >= 8192:
+                            yield batch()
+                    held[key] = part, root, sigs[start + k], sets[k]
+        if len(held) > 1:
             cell(held)
         yield batch()
 
-    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(releasing(run), "a string, b string, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return rows.repartition("of", "x", "y").sortWithinPartitions("of", "x", "y").mapInArrow(releasing(run), "a string, b string")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, text) of the nodes: their representatives' rows, found by id and key, so that equal texts don't meet in one task. Stored once."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
-    rows = rows.join(nodes.select("key", F.col("rep").alias("_rep")), (F.col("id").eqNullSafe(F.col("_rep"))) & (rows["key"] == nodes["key"])).select(rows["key"], "text")
-    path = shared_path(spark, "neardup-texts")
-    rows.dropDuplicates(["key"]).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema("key string, text string").parquet(path)
-
-
-def _passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs a, b that agree on enough samples."""
-    sig = nodes.select("key", "sig")
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) / F.lit(float(BANDS * ROWS))
-    return pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").where(agree >= EST).select("a", "b")
-
-
-def _verified(near: DataFrame, texts: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
-    """Of the pairs a, b, those whose texts' weighted Jaccard similarity is at least `least`."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
-    right = near.select("a", "b", salt.alias("salt")).join(texts.withColumnRenamed("key", "b"), "b").select("a", "salt", "b", "text")
-    left = near.select("a", salt.alias("salt")).distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit("").alias("b"), "text")
-    shared = near.sparkSession.sparkContext.broadcast(levels)
-
-    def run(batches):
-        weigh, held, mine = Weigher(shared.value), None, None
-        known, size = {}, 0
-        for batch in batches:
-            first, second, texts = (batch.column(c).to_pylist() for c in (0, 2, 3))
-            out = []
-            for start, end in parts_of(texts):
-                new = {}
-                for k in range(start, end):
-                    name = second[k] or first[k]
-                    if name not in known:
-                        new[name] = texts[k]
-                if size > HELD:
-                    new |= {second[k] or first[k]: texts[k] for k in range(start, end)}
-                    known, size = {}, 0
-                for name, (u, tf, level) in zip(new, weigh.many(list(new.values())), strict=True):
-                    known[name] = u, weights(tf, level)
-                    size += len(u)
-                for k in range(start, end):
-                    if not second[k]:
-                        held, mine = first[k], known[first[k]]
-                    elif held != first[k]:
-                        raise ValueError("a pair came before its first text")
-                    elif similarity(mine, known[second[k]]) >= least:
-                        out.append((first[k], second[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string())], ["a", "b"])
-
-    return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(releasing(run), "a string, b string")
+def _links(rows: DataFrame, **how) -> DataFrame:
+    """rows: of, parts, key, sig, text. All pairs that join classes: inside of parts, then across them."""
+    rows = rows.withColumn("root", F.col("key"))
+    links = cut(_joined(rows, False, **how).distinct())
+    if not rows.where("parts > 1").isEmpty():
+        rooted = rows.drop("root").join(components(links).toDF("key", "_root"), "key", "left").withColumn("root", F.coalesce("_root", "key"))
+        links = cut(links.union(_joined(rooted, True, **how).distinct()))
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -363,25 +361,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels = idf_levels(docs, text_col)
     sigs = cut(signatures(docs, levels, id_col, text_col))
     nodes = cut(sigs.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig")))
-    bands = F.array(*[F.struct(F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + k] for k in range(ROWS)]).alias("bucket"), F.col("sig")[(b + 1) * ROWS % (BANDS * ROWS)].alias("at")) for b in range(BANDS)])
-    members = nodes.where("sig is not null").select("key", F.explode(bands).alias("m")).select("m.bucket", "key", "m.at")
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + k] for k in range(ROWS)]) for b in range(BANDS)])
+    members = nodes.where("sig is not null").select("key", F.explode(bands).alias("of"))
     # Only buckets with company: counted before they are joined.
-    company = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = cut(members.join(company, "bucket"))
-    texts = _texts(docs, nodes.select("key", "rep").join(members.select("key").distinct(), "key"), id_col, text_col)
-    tried = cut(_passing(_pairs(members.withColumn("root", F.col("key"))), nodes))
-    links = cut(_verified(tried, texts, levels, least))
-    roots, most, more = components(links), FIRST, True
-    while more:
-        rooted = members.join(roots.toDF("key", "_root"), "key", "left").select("bucket", "key", F.coalesce("_root", "key").alias("root"))
-        rest = cut(_rest(rooted, nodes, most))
-        more, most = not rest.where("more").isEmpty(), most * GROWTH
-        pairs = cut(rest.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        found = cut(_verified(pairs, texts, levels, least))
-        tried = tried.union(pairs)
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links)
+    company = members.groupBy("of").agg(F.count("*").alias("c")).where("c > 1").select("of", F.ceil(F.col("c") / CELL).cast("int").alias("parts"))
+    members = cut(members.join(company, "of"))
+    grouped = components(_links(members.join(nodes.select("key", "sig"), "key"))).toDF("key", "of")
+    rows = _texts(docs, nodes.join(grouped, "key").select("key", "rep", "sig", "of"), id_col, text_col)
+    sizes = rows.groupBy("of").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum(F.length("text")) / PART_CHARS)).cast("int").alias("parts"))
+    roots = components(_links(rows.join(sizes, "of"), levels=levels, least=least))
     named = nodes.select("key", "rep", "n").join(roots.toDF("key", "root"), "key", "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"))
     first = F.min(F.struct(F.col("rep").isNull(), F.col("rep").alias("rep"), F.col("key").alias("key"))).alias("first")
     classes = named.groupBy("root").agg(first, F.sum("n").alias("class_size")).select("root", F.col("first.rep").alias("class_id"), "class_size", F.col("first.key").alias("class_key"))

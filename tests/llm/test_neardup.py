@@ -108,9 +108,20 @@ def test_no_pair_of_a_hot_bucket_is_left_out(spark):
     want = {(f"{k:05}", f"{k + 7000:05}") for k in range(40)}
     sig[7000:7040, :27] = sig[:40, :27]
     sig[:, :3] = 1
-    nodes = spark.createDataFrame([(f"{k:05}", s) for k, s in enumerate(sig.tolist())], "key string, sig array<int>")
-    rows = nodes.selectExpr("1L as bucket", "key", "key as root")
-    assert {(r.a, r.b) for r in neardup._rest(rows, nodes, 8).collect()} == want
+    rows = spark.createDataFrame([(1, 3, f"{k:05}", s) for k, s in enumerate(sig.tolist())], "of long, parts int, key string, sig array<int>")
+    assert {(r.a, r.b) for r in neardup._links(rows).collect()} == want
+
+
+def test_parts_find_the_same(spark, monkeypatch):
+    """Groups dealt into many parts: the classes are those of brute force, and links stay a forest's in number."""
+    rng = random.Random(12)
+    docs = []
+    for f in range(3):
+        w = text(rng, 150)
+        docs += [(f * 40 + k, " ".join(edited(rng, w, rng.choice((1, 2, 6))))) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "CELL", 8)
+    assert classes(neardup.near_duplicates(df).collect()) == brute(docs, neardup.idf_levels(df))
 
 
 def test_borderline_families(spark):
