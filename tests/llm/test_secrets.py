@@ -9,8 +9,8 @@ from ponderloom.llm import secrets
 
 def brute(value):
     """All segmentations."""
-    by = {}
-    for i, j, c, _ in [*secrets.parts(value), *((i, j, float(j - i), "b") for i in range(len(value)) for j in range(i + 1, len(value) + 1))]:
+    by, said = {}, secrets.Value(value, secrets.RANK)
+    for i, j, c in [*((i, j, c) for i in range(len(value)) for j, c, _ in said.parts(i)), *((i, j, float(j - i)) for i in range(len(value)) for j in range(i + 1, len(value) + 1))]:
         by[i, j] = min(c, by.get((i, j), math.inf))
     best = math.inf
     for cuts in itertools.chain.from_iterable(itertools.combinations(range(1, len(value)), k) for k in range(len(value))):
@@ -26,6 +26,45 @@ def test_cheapest_segmentation(value):
     assert cost == pytest.approx(brute(value)) and [w[0] for w in way] == [0, *[w[1] for w in way[:-1]]] and way[-1][1] == len(value)
 
 
+def plain_cost(value):
+    """Over all cuts and numbers of parts, from left to right, without leaving anything out."""
+    n, said = len(value), secrets.Value(value, secrets.RANK)
+    best = [{} for _ in range(n + 1)]
+    best[0][0] = 0.0
+    for i in range(n):
+        for j, c in [*((j, c) for j, c, _ in said.parts(i)), *((j, float(j - i)) for j in range(i + 1, n + 1))]:
+            for k, before in best[i].items():
+                best[j][k + 1] = min(best[j].get(k + 1, math.inf), before + c)
+    return min(c + math.lgamma(k + 1) / math.log(10) for k, c in best[n].items())
+
+
+@pytest.mark.parametrize("value", ["z" * 100, "password" * 12, "abcdefg2012" * 7 + "q!w", "qwertyuiopasdfgh" * 5, "zzzzqwert" * 9 + "12345678" * 2])
+def test_long_values_are_judged_whole(value):
+    want = plain_cost(value)
+    assert secrets.guesses(value)[0] == pytest.approx(want)
+    cost, way = secrets.guesses(value, limit=secrets.MIN_LOG10)
+    assert cost == pytest.approx(min(want, secrets.MIN_LOG10)) and bool(way) == (want < secrets.MIN_LOG10)
+
+
+def test_very_long_values_take_no_long_time():
+    assert secrets.guesses("z" * 50_000, limit=9)[0] < 9 and secrets.guesses("abcd" * 20_000, limit=9)[0] < 9
+    assert secrets.spans("auth: " + "-" * 300) == [] and secrets.spans('secret: "' + "z" * 320 + '"')[-1][0] == "assign"
+    hard = "pwd=" + "k7!Qz" * 3 + "x9$Lw" * 5000
+    assert secrets.spans(hard) == [("guess", 4, len(hard))]
+
+
+@pytest.mark.parametrize("text", ["The secret is understanding your customers", "Her passphrase is complicated", "a bypass is constructed nearby", "auth: documentation", "The token is authenticated", "auth: 'documentation' is long"])
+def test_prose_is_no_secret(text):
+    assert [s for s in secrets.spans(text, rank=secrets.ranks(["documentation"])) if s[0] == "guess"] == []
+
+
+def test_corpus_words_leave_secrets_out(spark):
+    docs = spark.createDataFrame([(k, "common words make common prose " + ("pwd: qzkxwvyj!7" if k else "Rare")) for k in range(9)] + [(90, None), (None, "")], "doc_id long, text string")
+    assert secrets.frequent_words(docs) == ["common", "make", "prose", "words", "rare"] and secrets.frequent_words(docs, most=2) == ["common", "make"]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert found[0] == [] and found[3] == [("guess", 36, 46)] and found[90] == found[None] == []
+
+
 def test_order_of_costs():
     assert secrets.guesses("password")[0] < secrets.guesses("password1987")[0] < secrets.guesses("tR7$kq0Zv!mW")[0]
     assert secrets.guesses("qwertyuiop")[0] < 5 and secrets.guesses("ababababab")[0] < 5
