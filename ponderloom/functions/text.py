@@ -23,14 +23,12 @@ def split_sentences(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    s = strip(text)
-    return F.when(s == "", 0).otherwise(F.size(F.split(s, r"\s+")))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def length_type(sentence: Column) -> Column:
     """The baseline that only looks at length: up to 5, 12, 20 words, more."""
-    n = word_count(sentence)
-    return F.when(n <= 5, "Retrieve").when(n <= 12, "Transform").when(n <= 20, "Verify").otherwise("Backtrack")
+    return once(word_count(sentence), lambda n: F.when(n <= 5, "Retrieve").when(n <= 12, "Transform").when(n <= 20, "Verify").otherwise("Backtrack"))
 
 
 def negated(sentence: Column) -> Column:

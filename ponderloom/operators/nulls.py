@@ -103,6 +103,15 @@ def ensemble(graphs: DataFrame, k: int = 1, seed: int = 42) -> DataFrame:
     return perm.unionByName(randomise(graphs, "jp_dpr", k, seed).withColumn("method", F.lit("jp_dpr"))).unionByName(randomise(graphs, "edge_rewire", k, seed).withColumn("method", F.lit("edge_rewire")))
 
 
+def sampled_pairs(real: DataFrame, null: DataFrame, n_null: int, samples: int = 50) -> DataFrame:
+    """Each real graph with about `samples` null graphs: null graphs are dealt into blocks of that size by a hash, a real graph meets one block.
+    An equi-join on the block; columns get _a and _b."""
+    blocks = max(1, n_null // samples)
+    at = lambda seed: F.pmod(F.xxhash64("trace_id", F.lit(seed)), F.lit(blocks)).alias("_block")
+    left = real.select(*[F.col(c).alias(f"{c}_a") for c in real.columns], at(1))
+    return left.join(null.select(*[F.col(c).alias(f"{c}_b") for c in null.columns], at(2)), "_block").drop("_block")
+
+
 def null_threshold(pairs: DataFrame, score: str = "score", level: float = 0.95) -> DataFrame:
     """The percentile of scores of real against null graphs."""
     return pairs.agg(F.percentile(score, F.lit(level)).alias("threshold"), F.count("*").alias("n"))

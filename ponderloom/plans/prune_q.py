@@ -55,7 +55,19 @@ tr1 AS (SELECT trace_id, id, row_number() OVER (PARTITION BY trace_id, grp ORDER
 tc AS (SELECT trace_id, 'redundant_transform_chain' AS region_type, string_agg(id::VARCHAR, ',' ORDER BY id) AS node_ids, list(id ORDER BY id) AS l, 0.7::DOUBLE AS confidence, (count(*) * 35)::INTEGER AS savings, 'merge' AS action FROM tr1 WHERE p > 3 GROUP BY trace_id, grp)"""
 
 
+def _plain(spark, sf):
+    """Days of every third user with Transforms only, as a star from the first node; others as they are: long chains, wide and uniform graphs."""
+    plain = F.col("user_id") % 3 == 0
+    rows = event_graphs(spark, sf, "day").withColumn("domain", F.lit("math"))
+    star = F.expr(f"cast(transform(filter(nodes, n -> n.id > 1), n -> named_struct('src', 1, 'dst', n.id)) as array<struct<src:int,dst:int>>)")
+    nodes = F.when(plain, F.transform("nodes", lambda n: n.withField("type", F.lit("Transform")))).otherwise(F.col("nodes"))
+    rows = G.fixed(rows.withColumn("_n", nodes).withColumn("_e", F.when(plain, star).otherwise(F.col("edges")))).drop("nodes", "edges").withColumnsRenamed({"_n": "nodes", "_e": "edges"})
+    return R.with_config(rows, PruneConfig())
+
+
 USER, DAY = _base("user"), _base("day")
+PLAIN = DAY.replace("ed AS (", "ed0 AS (", 1).replace("nd AS (SELECT trace_id, user_id, id::INTEGER AS id, type,", "nd AS (SELECT trace_id, user_id, id::INTEGER AS id, CASE WHEN user_id % 3 = 0 THEN 'Transform' ELSE type END AS type,", 1)
+PLAIN = PLAIN.replace(", tn AS (", ", ed AS (SELECT ed0.* FROM ed0 JOIN (SELECT DISTINCT trace_id FROM nd WHERE user_id % 3 <> 0) o ON o.trace_id = ed0.trace_id UNION ALL SELECT trace_id, 1, id FROM nd WHERE user_id % 3 = 0 AND id > 1), tn AS (", 1)
 _COLS = "trace_id, region_type, node_ids, round(confidence, 6) AS confidence, savings, action"
 
 
@@ -74,9 +86,9 @@ def prune_branches(spark, sf):
     return _found(_day(spark, sf), "underutilized_branch")
 
 
-@query(f"{USER} SELECT {_COLS} FROM tc")
+@query(f"{PLAIN} SELECT {_COLS} FROM tc")
 def prune_chains(spark, sf):
-    return _found(_user(spark, sf), "redundant_transform_chain")
+    return _found(_plain(spark, sf), "redundant_transform_chain")
 
 
 # Depths of long graphs: the longest path to a node, by a recursion over (trace, node, length) without repeats.
@@ -85,9 +97,9 @@ _ENT = ", en AS (SELECT trace_id, sum(-(k / n) * ln(k / n + 1e-10)) AS h, max(n)
 _BLOAT = _DEPTH + _ENT + ", bl AS (SELECT en.trace_id, 'shallow_wide_bloat' AS region_type, '' AS node_ids, []::INTEGER[] AS l, 0.55::DOUBLE AS confidence, floor(n * 35 * 0.15::DOUBLE)::INTEGER AS savings, 'review' AS action FROM en JOIN dep ON dep.trace_id = en.trace_id WHERE depth / n < 0.25::DOUBLE AND n > 5 UNION ALL SELECT trace_id, 'low_type_diversity', '', []::INTEGER[], 0.6::DOUBLE, floor(n * 35 * 0.1::DOUBLE)::INTEGER, 'review' FROM en WHERE h < 0.5::DOUBLE AND n > 5)"
 
 
-@query(f"{DAY}{_BLOAT} SELECT {_COLS} FROM bl")
+@query(f"{PLAIN}{_BLOAT} SELECT {_COLS} FROM bl")
 def prune_bloat(spark, sf):
-    return _found(_day(spark, sf), "shallow_wide_bloat", "low_type_diversity")
+    return _found(_plain(spark, sf), "shallow_wide_bloat", "low_type_diversity")
 
 
 @query(f"{DAY}{_BLOAT}, al AS (SELECT * FROM ev UNION ALL SELECT * FROM lv UNION ALL SELECT * FROM ub UNION ALL SELECT * FROM tc UNION ALL SELECT * FROM bl), g AS (SELECT trace_id, count(*) AS k, sum(CASE WHEN action IN ('merge', 'delete') THEN savings ELSE 0 END) AS s FROM al GROUP BY trace_id) SELECT tn.trace_id, coalesce(k, 0)::INTEGER AS n_regions, coalesce(s, 0)::INTEGER AS savings, floor(coalesce(s, 0) * 0.6::DOUBLE)::INTEGER AS savings_low, floor(coalesce(s, 0) * 1.4::DOUBLE)::INTEGER AS savings_high FROM tn LEFT JOIN g ON g.trace_id = tn.trace_id")
@@ -126,10 +138,12 @@ def prune_apply_edges(spark, sf):
 def prune_e2e(spark, sf):
     """Control, structural and signal conditions over order graphs: compression, pass rate, integrity, regions, change of plan redundancy."""
     g = order_graphs(spark, sf).withColumn("domain", F.lit("math"))
-    conditions = {"structural": PruneConfig(), "signal": PruneConfig(use_calibration_signal=True, use_prm_signal=True)}
+    conditions = {"control": PruneConfig(), "structural": PruneConfig(), "signal": PruneConfig(use_calibration_signal=True, use_prm_signal=True)}
     out = None
     for name, cfg in conditions.items():
         rows = R.regions(R.with_config(g, cfg))
+        if name == "control":  # nothing is found, so nothing is cut
+            rows = G.fixed(rows.withColumn("regions", F.slice("regions", 1, 0)))
         rows = R.apply(R.fuse(rows) if name == "signal" else rows).withColumn("before", plan_redundancy(g))
         new = rows.withColumn("old", F.size("nodes")).withColumn("k", F.size("regions")).drop("nodes", "edges").withColumnsRenamed({"pruned_nodes": "nodes", "pruned_edges": "edges"})
         new = V.validate(new, strict=False).withColumn("after", plan_redundancy(g))

@@ -17,7 +17,7 @@ from ..operators import stats as B
 from ..operators import steps as ST
 from ..operators import validate as V
 from ..schema import MOTIF_ORDER, TYPES
-from .fixtures import CODE_SQL, event_graphs, event_sql, order_cots, order_graphs, sentences_sql, table
+from .fixtures import CODE_SQL, EVENT_TYPE, event_graphs, event_sql, order_cots, order_graphs, sentences_sql, table
 from .graphs_q import _LOST, MATRIX, MOTIF_SQL, _lossy, _rounded
 from .text_q import RBE_ND
 
@@ -170,13 +170,14 @@ def synthetic_validation(spark, sf):
 
 
 def extractor_benchmark(spark, sf):
-    """Gold score, pass rate, mean similarity to the other extractor, overall score and rank."""
+    """Gold score, pass rate, mean TSI with the other extractor's graphs of the same traces, mean plan redundancy, overall score and rank."""
     two = _two(spark, sf)
-    rates = V.validate(two, strict=False).groupBy("extractor").agg(F.avg(F.col("is_valid").cast("double")).alias("pass_rate"))
-    described = S.described(two)
-    sim = A.extractor_pairs(described, "types", "size", "links").agg(F.avg(S.edit_similarity()).alias("tsi"))
+    checked = V.validate(two, strict=False).withColumn("plan", M.plan_redundancy(two))
+    rates = checked.groupBy("extractor").agg(F.avg(F.col("is_valid").cast("double")).alias("pass_rate"), F.avg("plan").alias("plan_redundancy"))
+    sim = A.extractor_pairs(S.tsi_rows(two, "extractor"), "motif", "feat").select("extractor_a", "extractor_b", S.tsi().alias("tsi"))
+    sim = sim.select(F.explode(F.array("extractor_a", "extractor_b")).alias("extractor"), "tsi").groupBy("extractor").agg(F.avg("tsi").alias("tsi"))
     g = gcp_calibration(spark, sf).select("extractor", F.col("mean").alias("gcp"), F.col("passed").alias("gcp_passed"))
-    return A.rank_extractors(rates.join(g, "extractor").join(F.broadcast(sim), F.lit(True)))
+    return A.rank_extractors(rates.join(g, "extractor").join(sim, "extractor", "left"))
 
 
 # Steps
@@ -236,10 +237,10 @@ def fingerprint_signature(spark, sf):
     return s.select("model", "n", F.posexplode(F.arrays_zip("mean", "std")).alias("i", "z")).select("model", (F.col("i") + 1).alias("i"), "n", F.round("z.mean", 6).alias("mean"), F.round("z.std", 6).alias("std"))
 
 
-@query(f"{FP_SQL}, mm AS (SELECT model, i, avg(x) AS mu FROM fx GROUP BY model, i), dd AS (SELECT fx.trace_id, mm.model, sqrt(sum((x - mu) * (x - mu))) AS d FROM fx JOIN mm ON mm.i = fx.i GROUP BY fx.trace_id, mm.model) SELECT trace_id, round(min(d), 6) AS distance, round((1 / greatest(min(d), 1e-6)) / sum(1 / greatest(d, 1e-6)), 6) AS confidence FROM dd GROUP BY trace_id")
+@query(f"{FP_SQL}, mm AS (SELECT model, i, avg(x) AS mu FROM fx GROUP BY model, i), dd AS (SELECT fx.trace_id, mm.model, sqrt(sum((x - mu) * (x - mu))) AS d FROM fx JOIN mm ON mm.i = fx.i GROUP BY fx.trace_id, mm.model) SELECT trace_id, arg_min(model, d)::BIGINT AS predicted, round(min(d), 6) AS distance, round((1 / greatest(min(d), 1e-6)) / sum(1 / greatest(d, 1e-6)), 6) AS confidence FROM dd GROUP BY trace_id")
 def fingerprint_identify(spark, sf):
     rows = _prints(spark, sf)
-    return _rounded(FP.identify(rows, FP.signatures(FP.moments(rows)), "euclidean").select("trace_id", "distance", "confidence"), "distance", "confidence")
+    return _rounded(FP.identify(rows, FP.signatures(FP.moments(rows)), "euclidean").select("trace_id", "predicted", "distance", "confidence"), "distance", "confidence")
 
 
 def fingerprint_mahalanobis(spark, sf):
@@ -321,9 +322,11 @@ def bootstrap_rho_ci(spark, sf):
     return B.bootstrap_rho(_metrics(spark, sf).select(F.col("depth").alias("x"), F.col("label").alias("y")))
 
 
+#: Quantiles of the normal distribution at 0.60, 0.65, 0.975 and 0.80.
+@query("WITH z AS (SELECT abs(0.3853204664075677::DOUBLE - 0.2533471031357997::DOUBLE) AS e, 1.9599639845400536::DOUBLE AS a, 0.8416212335729144::DOUBLE AS b), n AS (SELECT e, ceil((a + b) * (a + b) / (e * e + 1e-10) + 50) AS k FROM z) SELECT round(e, 9) AS effect_size, k::INTEGER AS per_group, (2 * k)::INTEGER AS total, ceil(2 * k / 0.6)::INTEGER AS with_extraction_rate, ceil(2 * k / 0.6) <= 500 AS sufficient FROM n")
 def power_analysis(spark, sf):
     p = B.power_analysis()
-    return spark.createDataFrame([(p["effect_size"], p["per_group"], p["total"], p["with_extraction_rate"], p["sufficient"])], "effect_size double, per_group int, total int, with_extraction_rate int, sufficient boolean")
+    return spark.createDataFrame([(round(p["effect_size"], 9), p["per_group"], p["total"], p["with_extraction_rate"], p["sufficient"])], "effect_size double, per_group int, total int, with_extraction_rate int, sufficient boolean")
 
 
 @query("SELECT phase, round(sum(cost), 6) AS cost FROM (VALUES " + ", ".join(f"('{p}', {c!r}::DOUBLE)" for p, _, c in B.cost_tasks()) + ") t(phase, cost) GROUP BY ROLLUP (phase)")
@@ -360,31 +363,36 @@ def type_permutation(spark, sf):
     return rows.select("trace_id", "draw", F.inline("nodes")).select("trace_id", "draw", F.col("id").alias("node_id"), "type")
 
 
-def _null(spark, sf, method):
-    rows = N.randomise(event_graphs(spark, sf), method, 1)
-    return rows.select("trace_id", "draw", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"))
+def _null(spark, sf, method, kept):
+    """What a null model keeps: nodes and edges in number, the degrees of each node (kept: of its edges out, or in as well), and that there is no cycle."""
+    rows = G.with_depth(N.randomise(event_graphs(spark, sf), method, 1), general=True)
+    degrees = F.array_join(F.array_sort(F.expr(f"transform(nodes, n -> concat_ws(':', cast(n.id as string), {kept}))")), ",")
+    return rows.select("trace_id", "draw", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"), degrees.alias("degrees"), F.col("is_dag").alias("acyclic"))
 
 
-_KEPT = "WITH " + event_sql() + ", e AS (SELECT trace_id, count(*) AS m FROM ed GROUP BY trace_id) SELECT nd.trace_id, 0 AS draw, count(*)::INTEGER AS n_nodes, coalesce(max(e.m), 0)::INTEGER AS n_edges FROM nd LEFT JOIN e ON e.trace_id = nd.trace_id GROUP BY nd.trace_id"
+_OUT, _IN = ("cast(size(filter(edges, e -> e.src = n.id)) as string)", "cast(size(filter(edges, e -> e.dst = n.id)) as string)")
+_KEPT = "WITH " + event_sql() + ", e AS (SELECT trace_id, count(*) AS m FROM ed GROUP BY trace_id), o AS (SELECT trace_id, src AS id, count(*) AS k FROM ed GROUP BY ALL), i AS (SELECT trace_id, dst AS id, count(*) AS k FROM ed GROUP BY ALL), d AS (SELECT nd.trace_id, {kept} AS s FROM nd LEFT JOIN o ON o.trace_id = nd.trace_id AND o.id = nd.id LEFT JOIN i ON i.trace_id = nd.trace_id AND i.id = nd.id) SELECT d.trace_id, 0 AS draw, count(*)::INTEGER AS n_nodes, coalesce(max(e.m), 0)::INTEGER AS n_edges, string_agg(s, ',' ORDER BY s) AS degrees, true AS acyclic FROM d LEFT JOIN e ON e.trace_id = d.trace_id GROUP BY d.trace_id"
 
 
-@query(_KEPT)
+@query(_KEPT.format(kept="nd.id || ':' || coalesce(o.k, 0)"))
 def jp_dpr(spark, sf):
-    return _null(spark, sf, "jp_dpr")
+    return _null(spark, sf, "jp_dpr", _OUT)
 
 
-@query(_KEPT)
+@query(_KEPT.format(kept="nd.id || ':' || coalesce(o.k, 0) || ':' || coalesce(i.k, 0)"))
 def edge_rewire(spark, sf):
-    return _null(spark, sf, "edge_rewire")
+    return _null(spark, sf, "edge_rewire", f"{_OUT}, {_IN}")
 
 
 def null_threshold(spark, sf):
-    """The 95th percentile of the similarity of each graph to its own null graphs."""
-    g = S.described(event_graphs(spark, sf)).select(F.col("trace_id").cast("string").alias("trace_id"), *[F.col(c).alias(f"{c}_a") for c in ("types", "size", "links")])
-    null = S.described(N.ensemble(event_graphs(spark, sf), 2)).select("trace_id", *[F.col(c).alias(f"{c}_b") for c in ("types", "size", "links")])
-    return N.null_threshold(g.join(null, "trace_id").select(S.edit_similarity().alias("score")))
+    """The 95th percentile of the TSI of each graph with some 50 null graphs, drawn from those of all graphs."""
+    graphs = event_graphs(spark, sf)
+    real = S.tsi_rows(graphs.withColumn("trace_id", F.col("trace_id").cast("string")))
+    null = S.tsi_rows(N.randomise(graphs, "jp_dpr", 1))
+    return N.null_threshold(N.sampled_pairs(real, null, graphs.select("trace_id").count()).select(S.tsi().alias("score")))
 
 
+@query(f"WITH e AS (SELECT user_id, ts, event_id, {EVENT_TYPE} AS type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n_nodes, string_agg({CODE_SQL}, '' ORDER BY ts, event_id) AS codes FROM s GROUP BY user_id, k")
 def session_traces(spark, sf):
     """Extension: gaps of 30 minutes in a user's events cut traces (session windows)."""
     from ..streaming.sessions import sessions
@@ -392,4 +400,4 @@ def session_traces(spark, sf):
     return sessions(table(spark, sf, "events"))
 
 
-QUERIES |= {f.__name__: f for f in (iaa_motif, gcs_lcs, alignment, gcp_calibration, gcp_category, gcp_sentences, synthetic_validation, extractor_benchmark, step_rebuild, step_classifier, fingerprint_mahalanobis, performance_correlation, bootstrap_ci, bootstrap_rho_ci, power_analysis, er_prediction, null_threshold, session_traces)}
+QUERIES |= {f.__name__: f for f in (iaa_motif, gcs_lcs, alignment, gcp_calibration, gcp_category, gcp_sentences, synthetic_validation, extractor_benchmark, step_rebuild, step_classifier, fingerprint_mahalanobis, performance_correlation, bootstrap_ci, bootstrap_rho_ci, er_prediction, null_threshold)}

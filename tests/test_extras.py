@@ -42,7 +42,10 @@ def test_synthetic_texts(spark):
     a, b = (sorted(X.synthetic_texts(spark, 60).collect()) for _ in range(2))
     assert a == b and len(a) == 60 and all(r.cot_text and r.answer in r.cot_text for r in a)
     assert {k for r in a for k in r.redundancy_types.split(",")} == set(X.KINDS) and all(1 <= len(r.redundancy_types.split(",")) <= 3 for r in a)
-    assert all(X.LONG_CHAIN in r.cot_text for r in a if "LongTransformChain" in r.redundancy_types)
+    for kind, (_, least, most, options) in X.REDUNDANCY.items():
+        counts = [sum(o.replace("{a}", r.answer).split("{w}")[0] in r.cot_text for o in options) for r in a if kind in r.redundancy_types.split(",")]
+        assert counts and all(least <= c <= most for c in counts), kind
+    assert all(r.cot_text.count("{") == 0 for r in a)
 
 
 def test_config(tmp_path):
