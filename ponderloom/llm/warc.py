@@ -102,14 +102,18 @@ def header(data: bytes) -> dict[str, str]:
 
 def inflate(data: bytes, step: int = 1 << 20):
     """The bytes of all members, as they come."""
-    left = zlib.decompressobj(31)
+    left, whole = zlib.decompressobj(31), True
     for k in range(0, len(data), step):
         chunk = data[k : k + step]
         while chunk:
             yield left.decompress(chunk)
             chunk = left.unused_data
             if left.eof:
-                left = zlib.decompressobj(31)
+                left, whole = zlib.decompressobj(31), True
+            else:
+                whole = False
+    if not whole:
+        raise ValueError("the stream stops before its trailer")
 
 
 def member(record: bytes) -> bytes:

@@ -77,3 +77,44 @@ def test_bradley_terry_orders_pairs():
     good, bad = rng.normal([1, 0], 1, (500, 2)), rng.normal([-1, 0], 1, (500, 2))
     w = quality.bradley_terry(good, bad)
     assert w[0] > 5 * abs(w[1]) and (good @ w).mean() > (bad @ w).mean()
+
+
+def test_ftrl_equals_the_plain_algorithm():
+    """Coordinate by coordinate, in loops, as published."""
+    import math
+
+    rng = random.Random(1)
+    model = toxicity.Ftrl(bits=6)
+    z, n = {}, {}
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+
+    def weight(i):
+        lam = 0.0 if i == 64 else l1
+        if abs(z.get(i, 0.0)) <= lam:
+            return 0.0
+        return -(z[i] - math.copysign(lam, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for _ in range(400):
+        x = sorted(rng.sample(range(64), 5)) + [64]
+        y = float(x[0] < 8)
+        model.learn(np.array(x), y)
+        w = {i: weight(i) for i in x}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in x:
+            s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / a
+            z[i] = z.get(i, 0.0) + g - s * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    assert np.allclose(model.weights(np.arange(65)), [weight(i) for i in range(65)]) and np.count_nonzero(model.weights(np.arange(64))) > 0
+
+
+def test_bradley_terry_minimises_the_plain_pairwise_loss():
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0.5, 1, (300, 3)), rng.normal(0, 1, (200, 3))
+    w = quality.bradley_terry(good, bad, pairs=20_000)
+
+    every = (good[:, None, :] - bad[None, :, :]).reshape(-1, 3)
+
+    def loss(w):
+        return float(np.log1p(np.exp(-(every @ w))).mean())
+
+    assert loss(w) < loss(np.zeros(3)) and all(loss(w) < loss(w + d) for d in np.vstack([np.eye(3), -np.eye(3)]) * 0.3)

@@ -1,3 +1,4 @@
+import pytest
 import base64
 import gzip
 import hashlib
@@ -39,3 +40,13 @@ def test_digest_in_sql(spark):
     for data in (b"", b"a", b"\xff" * 70):
         got = spark.createDataFrame([(bytearray(data),)], "x binary").select(base32_sha1("x").alias("d")).first().d
         assert got == base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_a_cut_stream_is_an_error():
+    import gzip
+
+    whole = gzip.compress(b"x" * 5000) + gzip.compress(b"y")
+    assert b"".join(warc.inflate(whole, 64)) == b"x" * 5000 + b"y" and list(warc.inflate(b"")) == []
+    for cut in (len(whole) - 1, len(whole) - 9, 15):
+        with pytest.raises(ValueError):
+            list(warc.inflate(whole[:cut], 64))
