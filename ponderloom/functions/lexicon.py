@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 #: Keywords and weights by node type. Phrases and Chinese words match as they are, single words with their inflections.
@@ -71,3 +72,8 @@ def pattern(word: str, edge: tuple[str, str] = (r"\b", r"\b")) -> str:
     of = forms(word)
     said = "(?:" + "|".join(map(re.escape, of)) + ")" if of else re.escape(word).replace("\\ ", " ")
     return edge[0] + said.replace("\\-", "-").replace("\\'", "'") + edge[1]
+
+
+def stem(word: str) -> str:
+    """What every text that matches pattern(word) contains: the letters that all forms begin with."""
+    return os.path.commonprefix(forms(word) or [word])

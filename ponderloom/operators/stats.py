@@ -52,7 +52,12 @@ def bh_fdr(rows: DataFrame) -> DataFrame:
     return r.withColumn("q", F.least(F.lit(1.0), F.min("raw").over(down))).withColumn("q_ref", F.least(F.lit(1.0), F.min("raw").over(ref))).drop("raw", "rank")
 
 
-def bootstrap(values: DataFrame, draws: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+def _row_ids(rows: DataFrame, key: str | None) -> DataFrame:
+    """_id: by the row's key, so that draws don't depend on how rows are dealt; without a key, by the row's place."""
+    return rows.withColumn("_id", F.xxhash64(key) if key else F.monotonically_increasing_id())
+
+
+def bootstrap(values: DataFrame, draws: int = 1000, seed: int = 42, confidence: float = 0.95, key: str | None = None) -> DataFrame:
     """(low, high): percentiles of the mean of resamples. Poisson weights stand for drawing with replacement: each row gets a
     weight in each draw, sums are combined before the shuffle, and no row is copied to another task."""
     u = (F.xxhash64("_id", "b", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
@@ -64,15 +69,15 @@ def bootstrap(values: DataFrame, draws: int = 1000, seed: int = 42, confidence:
         p /= k
         total += p
     weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    rows = values.withColumn("_id", F.monotonically_increasing_id()).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("w", weight)
+    rows = _row_ids(values, key).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("w", weight)
     means = rows.groupBy("b").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
     a = (1 - confidence) / 2
     return means.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))
 
 
-def bootstrap_rho(rows: DataFrame, draws: int = 500, seed: int = 42) -> DataFrame:
+def bootstrap_rho(rows: DataFrame, draws: int = 500, seed: int = 42, key: str | None = None) -> DataFrame:
     """(low, high) of the rank correlation of x and y: Poisson weights on ranks, the sums of a weighted correlation for each draw."""
-    ids = rows.withColumn("_id", F.monotonically_increasing_id())
+    ids = _row_ids(rows, key)
     r = ranked(ids.withColumnRenamed("x", "value").withColumn("g", F.lit(0)), "g").withColumnsRenamed({"rank": "rx", "value": "x"})
     r = ranked(r.withColumnRenamed("y", "value"), "g").withColumnRenamed("rank", "ry")
     u = (F.xxhash64("_id", "b", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))

@@ -315,11 +315,11 @@ def cohens_d(spark, sf):
 
 
 def bootstrap_ci(spark, sf):
-    return B.bootstrap(table(spark, sf, "labels").select(F.col("toxic").cast("double").alias("value")), 500)
+    return B.bootstrap(table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("value")), key="doc_id")
 
 
 def bootstrap_rho_ci(spark, sf):
-    return B.bootstrap_rho(_metrics(spark, sf).select(F.col("depth").alias("x"), F.col("label").alias("y")))
+    return B.bootstrap_rho(_metrics(spark, sf).select("trace_id", F.col("depth").alias("x"), F.col("label").alias("y")), key="trace_id")
 
 
 #: Quantiles of the normal distribution at 0.60, 0.65, 0.975 and 0.80.
