@@ -3,7 +3,9 @@
 1. A pass over the scan splits each text into the vocabulary's pre-tokens ("words") and replaces them by positions
    in the word list of its chunk (some 24 MB of texts). A chunk leaves one row with its documents as positions, and
    its word list dealt into buckets by the words' hash.
-2. The word lists meet by bucket; there, each distinct word is encoded once, by the tokenizers library.
+2. The word lists meet by bucket; there, each distinct word is encoded once, by the tokenizers library. A task takes one
+   bucket after the other and forgets the words of the last. The number of buckets grows with the square root of the
+   input's size, as distinct words grow slower than texts; that of partitions by chunk grows with the input.
 3. The ids go back to their chunk and are joined to the documents by position.
 4. Decoding joins ids to the vocabulary's pieces (id -> bytes, one for each id: bounded by the vocabulary), and
    a document's bytes are those of its words in order.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from functools import cache
 
 import numpy as np
@@ -30,12 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, releasing
+from .common import release, releasing, scanned_bytes
 
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK_CHARS = 24 << 20
+#: Buckets of words: so many up to FULL_BYTES of input as scanned; beyond that they grow with the root of its size.
 WORD_BUCKETS = 256
+FULL_BYTES = 1 << 38
+#: Bytes of input as scanned for each partition of chunks, where the session's shuffle partitions would be fewer.
+PARTITION_BYTES = 64 << 20
 
 
 def default_vocab() -> str:
@@ -139,15 +146,18 @@ def _chunks(vocab: str, chunk_chars: int, buckets: int):
 
 
 def _encode_words(vocab: str):
-    """Each distinct word of a bucket is encoded once; a bucket is in one task."""
+    """Each distinct word of a bucket is encoded once; a bucket is in one task, its rows one after the other."""
 
     def run(batches):
         tokenizer, pieces, special = _vocabulary(vocab)
         narrow = pa.list_(pa.uint16() if len(pieces) <= 65_536 else pa.uint32())
         known: dict[str, list[int]] = {}
+        last = None
         for batch in batches:
             out = []
-            for blob in batch.column(2):
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != last:
+                    known, last = {}, bucket
                 t = _unpack(blob.as_py())
                 names = t["word"].to_pylist()
                 new = [w for w in names if w not in known]
@@ -220,7 +230,12 @@ def _join_back(vocab: str, schema: pa.Schema, step: int = 1 << 18):
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, chunk_chars: int = CHUNK_CHARS, word_buckets: int = WORD_BUCKETS) -> DataFrame:
+def buckets_for(size: int) -> int:
+    """Buckets of words for an input of size bytes."""
+    return WORD_BUCKETS * max(1, math.ceil(math.sqrt(size / FULL_BYTES)))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, chunk_chars: int = CHUNK_CHARS, word_buckets: int | None = None) -> DataFrame:
     """id_col, ids (little-endian unsigned 32-bit numbers), decoded (the text made from the ids)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -228,10 +243,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType
     schema = pa.schema([(id_col, to_arrow_type(kind)), ("ids", pa.binary()), ("decoded", pa.string())])
-    packed = rows.mapInArrow(_chunks(vocab, chunk_chars, word_buckets), _PACKED).repartition("chunk")
+    size = scanned_bytes(docs)
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PARTITION_BYTES))
+    packed = rows.mapInArrow(_chunks(vocab, chunk_chars, word_buckets or buckets_for(size)), _PACKED).repartition(partitions, "chunk")
     # The two kinds of rows share one exchange: a filter that isn't deterministic stays above it, so that texts are split once.
     kind_of = F.col("bucket") + F.floor(F.rand()).cast("int")
-    lists = packed.where(kind_of >= 0).repartition("bucket").mapInArrow(_encode_words(vocab), _PACKED)
+    lists = packed.where(kind_of >= 0).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocab), _PACKED).repartition(partitions, "chunk")
     back = packed.where(kind_of < 0).groupBy("chunk").cogroup(lists.groupBy("chunk"))
     return back.applyInArrow(_join_back(vocab, schema), f"`{id_col}` {kind.simpleString()}, ids binary, decoded string")
 

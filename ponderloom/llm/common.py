@@ -38,6 +38,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df scans, as Catalyst knows them. What has no known size (rows of the driver, RDDs) counts as none. For numbers
+    of partitions and buckets, never for what is calculated."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

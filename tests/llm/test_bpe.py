@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ponderloom.llm import bpe
+from ponderloom.llm.common import scanned_bytes
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +51,10 @@ def test_decode_by_join(spark, tokenizer):
 def test_equal_chunks(spark, tokenizer):
     docs = spark.createDataFrame([(k, f"text {k} here") for k in range(4)], "doc_id long, text string").coalesce(1)
     check(bpe.encode(docs.union(docs)).collect(), [(r.doc_id, r.text) for r in docs.collect()] * 2, tokenizer)
+
+
+def test_numbers_follow_the_input(spark, sf, odd):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert scanned_bytes(docs) > 10_000 and scanned_bytes(docs.union(docs)) == 2 * scanned_bytes(docs)
+    assert scanned_bytes(odd) == 0 or scanned_bytes(odd) < 1 << 24  # rows of the driver: no sentinel of unknown size
+    assert [bpe.buckets_for(x) for x in (0, 1 << 30, bpe.FULL_BYTES, 4 * bpe.FULL_BYTES, 100 << 40)] == [256, 256, 256, 512, 256 * 20]
