@@ -1,7 +1,8 @@
 """WARC: pages written as archives, monolithic gzip normalised into a member for each record, a sidecar offset index.
 
 1. `records` decides response or revisit: of equal payloads (SHA-1) the smallest id is the response. Digests are
-   counted before they are shuffled, and only those of several pages are joined back, on (digest, salt).
+   counted before they are shuffled, and those of several pages are written to the shared folder. Where their files are small
+   (BROADCAST_BYTES) they are broadcast and payloads stay where they were scanned; else they are joined back on (digest, salt).
 2. `write_monolithic` writes archives of which each is one gzip stream, through Spark's text writer (which reaches any
    store). Records are separated by the blank lines that end a WARC record.
 3. `normalise` inflates each stream once, as it comes, and writes every record as a gzip member of its own, again through
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import base32_sha1
+from .common import base32_sha1, scanned_bytes, shared_path
 
 SALTS = 16
+#: Digests of several pages are broadcast up to this size of their files (some 200,000 digests).
+BROADCAST_BYTES = 8 << 20
 ARCHIVE_ROWS = 4096
 #: Fixed value: a gzip member of nothing.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff0300") + b"\0" * 8
@@ -32,16 +35,22 @@ EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff0300") + b"\0" * 8
 DATE = "2024-01-01T00:00:00Z"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
+    spark = pages.sparkSession
     html = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1("payload"))
     # The counts first: most payloads are single.
     first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1 and first is not null").select("payload_digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    rows = rows.join(first, ["payload_digest", "salt"], "left")
+    path = shared_path(spark, "warc-copies")
+    first.where("n > 1 and first is not null").select("payload_digest", "first").write.parquet(path)
+    first = spark.read.schema("payload_digest string, first long").parquet(path)
+    if scanned_bytes(first) <= broadcast_bytes:
+        rows = rows.join(F.broadcast(first), "payload_digest", "left")
+    else:
+        salted = first.select("payload_digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "salt"], "left")
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 

@@ -50,3 +50,10 @@ def test_a_cut_stream_is_an_error():
     for cut in (len(whole) - 1, len(whole) - 9, 15):
         with pytest.raises(ValueError):
             list(warc.inflate(whole[:cut], 64))
+
+
+def test_copies_by_either_join(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = pages.union(pages.withColumn("page_id", pages.page_id + 100_000)).union(spark.createDataFrame([(None, "u", None), (7_000_000, "u", None)], pages.schema))
+    got = [sorted(map(repr, warc.records(pages, broadcast_bytes=n).drop("payload").collect())) for n in (warc.BROADCAST_BYTES, -1)]
+    assert got[0] == got[1] and sum("revisit" in r for r in got[0]) >= pages.count() // 2 - 1
