@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import corpora
 from .operators import agreement as A
+from .operators import extractors as X
 from .operators import fingerprint as FP
 from .operators import graph as G
 from .operators import metrics as M
@@ -19,6 +22,7 @@ from .operators import similarity as S
 from .operators import stats as B
 from .operators import steps as ST
 from .operators import validate as V
+from .operators.pruning import annotated_graphs, conditions
 from .schema import PruneConfig
 from .sources import readers
 
@@ -116,6 +120,37 @@ def randomize(spark, a):
     readers.write_graphs(N.randomise(_graphs(spark, a.input), a.method, a.draws).withColumn("trace_id", F.concat_ws("_", "trace_id", "draw")), a.output)
 
 
+def calibrate(spark, a):
+    """Thresholds by coordinate descent over graphs with known redundant nodes: made ones, or those of a table (trace_id, gold)."""
+    if a.graphs:
+        rows = _graphs(spark, a.graphs).join(spark.read.json(a.gold).selectExpr("cast(trace_id as string) trace_id", "cast(gold as array<int>) gold"), "trace_id")
+    else:
+        rows = annotated_graphs(spark, a.n)
+    config, f1 = R.calibrate(rows.withColumn("domain", F.lit(a.domain)).persist(), PruneConfig(), a.rounds)
+    spark.createDataFrame([(json.dumps(asdict(config)), f1)], "config string, f1 double").write.json(a.output)
+
+
+def end_to_end(spark, a):
+    """The control, structural and signal conditions over texts: made ones with known redundancy, or those of a folder."""
+    traces = X.synthetic_texts(spark, a.n).withColumnRenamed("question_id", "trace_id") if a.input == "synthetic" else _traces(spark, a.input)
+    conditions(G.extract_rules(traces)).orderBy("condition").write.json(a.output)
+
+
+def everything(spark, a):
+    """Extraction, rules, metrics, redundancy and agreement of one folder of texts, each into its own folder."""
+    at = a.output.rstrip("/") + "/"
+    traces = _traces(spark, a.input)
+    readers.write_graphs_with_text(EXTRACTORS["rbe"](traces), at + "graphs_with_text")
+    readers.write_graphs(EXTRACTORS["rbe"](traces), at + "graphs")
+    graphs = EXTRACTORS["rbe"](traces)
+    V.long_violations(graphs).write.json(at + "violations")
+    M.summary(M.metric_matrix(graphs), M.METRICS).write.json(at + "metrics")
+    R.report(R.regions(R.with_config(graphs.withColumn("domain", F.lit("math")), PruneConfig()))).write.json(at + "redundancy")
+    conditions(graphs).write.json(at + "end_to_end")
+    A.decision(A.extractors(spark, traces)).write.json(at + "decision")
+    A.gcs_summary(A.gcs(corpora.gold(spark))).write.json(at + "gold")
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="ponderloom", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -139,6 +174,14 @@ def main(argv: list[str] | None = None) -> int:
     c = add(prune, "input", "output")
     for flag in ("--apply", "--calibration", "--prm"):
         c.add_argument(flag, action="store_true")
+    c = add(calibrate, "output")
+    c.add_argument("--graphs")
+    c.add_argument("--gold", help="JSON lines of trace_id and gold (ids of redundant nodes)")
+    c.add_argument("--domain", default="math")
+    c.add_argument("--n", type=int, default=200)
+    c.add_argument("--rounds", type=int, default=2)
+    add(end_to_end, "input", "output").add_argument("--n", type=int, default=50)
+    add(everything, "input", "output")
     add(enroll, "input", "model", "output")
     add(identify, "input", "signatures", "output").add_argument("--method", default="mahalanobis", choices=("mahalanobis", "cosine", "euclidean"))
     add(analyze, "input")

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from ..functions.text import rule_type
+from ..functions.text import once, rule_type
 from ..schema import CODES
 from .graph import extract_by_length, extract_rules, fixed, type_codes
-from .motifs import presence, with_counts
-from .similarity import described, edit_similarity, levenshtein_similarity
+from .motifs import presence, vector, with_counts
+from .similarity import described, edit_similarity, label_cosine, levenshtein_similarity, wl_labels
+from .stats import poisson
 
 # Raters: (item, rater, category)
 
@@ -29,6 +30,23 @@ def fleiss_kappa(ratings: DataFrame) -> DataFrame:
     return both.select(F.when(one, 1.0).otherwise((F.col("p_bar") - p_e) / (1 - p_e)).alias("kappa"), F.col("p_bar").alias("observed"), p_e.alias("expected"))
 
 
+def fleiss_bootstrap(ratings: DataFrame, categories: tuple = tuple(range(6)), draws: int = 1000, seed: int = 42) -> DataFrame:
+    """kappa, low, high: kappa over given categories and its 95 % interval. Items are drawn by Poisson weights from their own keys."""
+    count = lambda c: F.sum(F.when(F.col("category") == F.lit(c), 1).otherwise(0))
+    item = ratings.groupBy("item").agg(F.count("*").alias("m"), *[count(c).alias(f"_{k}") for k, c in enumerate(categories)])
+    cols = [F.col(f"_{k}") for k in range(len(categories))]
+    agreed = F.when(F.col("m") > 1, (sum((c * c for c in cols), F.lit(0)) - F.col("m")) / (F.col("m") * (F.col("m") - 1)))
+    rows = fixed(item.select("item", "m", agreed.alias("p"), *[c.alias(f"_{k}") for k, c in enumerate(cols)]))
+
+    def kappa(w):
+        e = sum((F.pow(F.sum(w * c) / F.sum(w * F.col("m")), F.lit(2.0)) for c in cols), F.lit(0.0))
+        return F.when(e >= 1, 1.0).otherwise((F.sum(w * F.col("p")) / F.sum(F.when(F.col("p").isNotNull(), w)) - e) / (1 - e)).alias("kappa")
+
+    drawn = poisson(rows, draws, seed, "item").groupBy("b").agg(kappa(F.col("w")))
+    ci = drawn.agg(F.percentile("kappa", F.lit(0.025)).alias("low"), F.percentile("kappa", F.lit(0.975)).alias("high"))
+    return rows.agg(kappa(F.lit(1))).join(F.broadcast(ci), F.lit(True))  # one row each
+
+
 def cohens_kappa(ratings: DataFrame) -> DataFrame:
     """kappa of each pair of raters, by an equi-join on the item."""
     a, b = ratings.toDF("item", "rater_a", "x"), ratings.toDF("item", "rater_b", "y")
@@ -85,8 +103,8 @@ def motif_agreement(graphs: DataFrame) -> DataFrame:
     """Pearson correlation of the extractors' mean motif vectors, averaged over pairs that vary."""
     rows = with_counts(graphs).select("extractor", F.posexplode(presence("typed")).alias("m", "p"))
     mean = rows.groupBy("extractor", "m").agg(F.avg("p").alias("v"))
-    pairs = mean.toDF("a", "m", "x").join(mean.toDF("b", "m", "y"), "m").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    return pairs.where("sx > 0 and sy > 0").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("mean_pearson_r"))
+    pairs = mean.toDF("a", "m", "x").join(mean.toDF("b", "m", "y"), "m").where("a < b").groupBy("a", "b").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    return pairs.agg(F.coalesce(F.avg(F.expr("c / nullif(sx * sy, 0.0D)")), F.lit(0.0)).alias("mean_pearson_r"))
 
 
 def structure_agreement(graphs: DataFrame) -> DataFrame:
@@ -94,6 +112,57 @@ def structure_agreement(graphs: DataFrame) -> DataFrame:
     return pairs.agg(F.coalesce(F.avg(edit_similarity()), F.lit(0.0)).alias("mean_ged_similarity"))
 
 
+def _codes_kappa(z) -> Column:
+    """Kappa of two aligned sequences over the positions where neither has a gap; null with fewer than three of those."""
+    both = F.filter(F.arrays_zip(F.get(z, 0).alias("a"), F.get(z, 1).alias("b")), lambda x: (x["a"] != "-") & (x["b"] != "-"))
+
+    def made(rows) -> Column:
+        n = F.size(rows)
+        same = F.size(F.filter(rows, lambda x: x["a"] == x["b"])) / n
+        share = lambda c: (F.size(F.filter(rows, lambda x: x["a"] == c)) + F.size(F.filter(rows, lambda x: x["b"] == c))) / (2 * n)
+        chance = sum((share(c) * share(c) for c in CODES.values()), F.lit(0.0))
+        return F.when(n >= 3, once(chance, lambda e: F.when(F.abs(e - 1) < 1e-9, 1.0).otherwise((same - e) / (1 - e))))
+
+    return once(both, made)
+
+
+def aligned_agreement(graphs: DataFrame) -> DataFrame:
+    """(extractor_a, extractor_b, kappa, n): mean kappa of the aligned type sequences of a trace, of each pair of extractors, and how many
+    traces have one. Each pair is aligned by itself (the original stretches one reference over all of them)."""
+    pairs = extractor_pairs(graphs.withColumn("codes", type_codes()), "codes").withColumn("z", align("codes_a", "codes_b"))
+    return fixed(pairs).withColumn("kappa", _codes_kappa("z")).groupBy("extractor_a", "extractor_b").agg(F.coalesce(F.avg("kappa"), F.lit(0.0)).alias("kappa"), F.count("kappa").alias("n"))
+
+
+def dimension_agreement(graphs: DataFrame) -> DataFrame:
+    """(extractor_a, extractor_b, r): the correlation over traces of each motif's weight, averaged over the motifs that vary in both."""
+    rows = fixed(fixed(with_counts(graphs).withColumn("_p", presence())).withColumn("w", vector(F.col("_p"))))
+    each = extractor_pairs(rows, "w").select("extractor_a", "extractor_b", F.posexplode(F.arrays_zip(F.col("w_a").alias("x"), F.col("w_b").alias("y"))).alias("m", "z"))
+    by = each.groupBy("extractor_a", "extractor_b", "m").agg(F.covar_pop("z.x", "z.y").alias("c"), F.stddev_pop("z.x").alias("sx"), F.stddev_pop("z.y").alias("sy"))
+    varies = (F.col("sx") > 1e-8) & (F.col("sy") > 1e-8)
+    return by.groupBy("extractor_a", "extractor_b").agg(F.coalesce(F.avg(F.when(varies, F.col("c") / (F.col("sx") * F.col("sy")))), F.lit(0.0)).alias("r"))
+
+
+def kernel_agreement(graphs: DataFrame, rounds: int = 3) -> DataFrame:
+    """(extractor_a, extractor_b, similarity): mean kernel of refined labels of a trace's two graphs, within the row."""
+    pairs = fixed(extractor_pairs(wl_labels(graphs, rounds), "labels"))
+    return pairs.groupBy("extractor_a", "extractor_b").agg(F.avg(label_cosine("labels_a", "labels_b")).alias("similarity"))
+
+
+def decision(graphs: DataFrame, length: str = "rbe_rand", syntax: str = "sbe", rules: tuple[str, ...] = ("rbe", "human")) -> DataFrame:
+    """One row: the three levels of agreement (means over pairs), the greatest correlation of a model's motifs with the length baseline's and with
+    the syntax extractor's, the decisions, and whether to go on. Models are the extractors that are neither of these nor of rules."""
+    motif = dimension_agreement(graphs)
+    model = lambda c: ~F.col(c).isin(length, syntax, *rules)
+    against = lambda name: F.coalesce(F.greatest(F.lit(0.0), F.max(F.when(((F.col("extractor_a") == name) & model("extractor_b")) | ((F.col("extractor_b") == name) & model("extractor_a")), F.col("r")))), F.lit(0.0))
+    one = aligned_agreement(graphs).agg(F.coalesce(F.avg("kappa"), F.lit(0.0)).alias("graph_level"))
+    one = one.join(motif.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("motif_level"), against(length).alias("length_correlation"), against(syntax).alias("syntax_correlation")), F.lit(True))
+    one = one.join(kernel_agreement(graphs).agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("structure_level")), F.lit(True))  # one row each
+    g, m = F.col("graph_level"), F.col("motif_level")
+    first = F.when((g > 0.6) & (m > 0.6), "proceed_high").when((g >= 0.4) | (m >= 0.4), "proceed_caveat").otherwise("terminate")
+    flags = [F.when(F.col("length_correlation") > 0.3, "flag_length"), F.when(F.col("syntax_correlation") > 0.7, "flag_syntax")]
+    return one.withColumn("decisions", F.array_compact(F.array(first, *flags))).withColumn("proceed", first != "terminate")
+
+
 def sequence_bias(graphs: DataFrame, baseline: DataFrame, threshold: float = 0.3) -> DataFrame:
     """How much each extractor's type sequences resemble a baseline's; over the threshold is a bias. (0.7 for syntax artefacts.)"""
     rows = graphs.select("trace_id", "extractor", type_codes().alias("x")).join(baseline.select("trace_id", type_codes().alias("y")), "trace_id")

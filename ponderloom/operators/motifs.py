@@ -14,43 +14,60 @@ from .graph import fixed
 
 E = F.expr
 EPSILON = 1e-8
+_OWN = ("_t", "_e", "_s", "_edge", "_chain", "_fork", "_merge", "_loop", "_pairs", "_diamond")
 
 
-def _prepared(graphs: DataFrame) -> DataFrame:
+def _prepared(graphs: DataFrame, ids: bool = False) -> DataFrame:
+    """graphs plus the places of each shape: the types of the nodes in it, or (ids) the nodes' ids, in the motif's order."""
+    leaf = lambda *nodes: f"array({', '.join(nodes if ids else (f'_t[{n}]' for n in nodes))})"
     rows = graphs.withColumn("_t", E("map_from_entries(transform(nodes, n -> struct(n.id, n.type)))"))
     rows = rows.withColumn("_e", E("transform(array_distinct(edges), e -> named_struct('a', e.src, 'b', e.dst))")).withColumn("_s", E("array_distinct(transform(edges, e -> concat(e.src, '>', e.dst)))"))
     has = lambda x, y: f"array_contains(_s, concat({x}, '>', {y}))"
     none = lambda *pairs: " and ".join(f"not {has(*p)}" for p in pairs)
     rows = fixed(rows)
-    rows = rows.withColumn("_edge", E(f"transform(filter(_e, e -> {none(('e.b', 'e.a'))}), e -> array(_t[e.a], _t[e.b]))"))
+    rows = rows.withColumn("_edge", E(f"transform(filter(_e, e -> {none(('e.b', 'e.a'))}), e -> {leaf('e.a', 'e.b')})"))
     three = lambda link, same: f"flatten(transform(_e, e -> transform(filter(_e, f -> {link} and {same}), f -> "
-    chain = three("f.a = e.b", f"f.b <> e.a and {none(('e.a', 'f.b'), ('f.b', 'e.a'), ('e.b', 'e.a'), ('f.b', 'e.b'))}") + "array(_t[e.a], _t[e.b], _t[f.b]))))"
-    fork = three("f.a = e.a and e.b < f.b", none(("e.b", "f.b"), ("f.b", "e.b"), ("e.b", "e.a"), ("f.b", "e.a"))) + "array(_t[e.a], _t[e.b], _t[f.b]))))"
-    merge = three("f.b = e.b and e.a < f.a", none(("e.a", "f.a"), ("f.a", "e.a"), ("e.b", "e.a"), ("e.b", "f.a"))) + "array(_t[e.a], _t[f.a], _t[e.b]))))"
-    loop = three("f.a = e.b and f.b <> e.a", f"{has('f.b', 'e.a')} and {none(('e.a', 'f.b'), ('e.b', 'e.a'), ('f.b', 'e.b'))}") + "array(_t[e.a], _t[e.b], _t[f.b]))))"
+    chain = three("f.a = e.b", f"f.b <> e.a and {none(('e.a', 'f.b'), ('f.b', 'e.a'), ('e.b', 'e.a'), ('f.b', 'e.b'))}") + leaf("e.a", "e.b", "f.b") + ")))"
+    fork = three("f.a = e.a and e.b < f.b", none(("e.b", "f.b"), ("f.b", "e.b"), ("e.b", "e.a"), ("f.b", "e.a"))) + leaf("e.a", "e.b", "f.b") + ")))"
+    merge = three("f.b = e.b and e.a < f.a", none(("e.a", "f.a"), ("f.a", "e.a"), ("e.b", "e.a"), ("e.b", "f.a"))) + leaf("e.a", "f.a", "e.b") + ")))"
+    loop = three("f.a = e.b and f.b <> e.a", f"{has('f.b', 'e.a')} and {none(('e.a', 'f.b'), ('e.b', 'e.a'), ('f.b', 'e.b'))}") + leaf("e.a", "e.b", "f.b") + ")))"
     pairs = three("f.a = e.a and e.b < f.b", none(("e.b", "f.b"), ("f.b", "e.b"), ("e.b", "e.a"), ("f.b", "e.a"))) + "named_struct('a', e.a, 'b', e.b, 'c', f.b))))"
     rows = rows.withColumn("_chain", E(chain)).withColumn("_fork", E(fork)).withColumn("_merge", E(merge)).withColumn("_loop", E(loop)).withColumn("_pairs", E(pairs))
     rows = fixed(rows)
     diamond = f"""flatten(transform(_pairs, p -> transform(filter(_e, d -> d.a = p.b and d.b <> p.a and {has('p.c', 'd.b')}
-        and {none(('p.a', 'd.b'), ('d.b', 'p.a'), ('d.b', 'p.b'), ('d.b', 'p.c'))}), d -> array(_t[p.a], _t[p.b], _t[p.c], _t[d.b]))))"""
+        and {none(('p.a', 'd.b'), ('d.b', 'p.a'), ('d.b', 'p.b'), ('d.b', 'p.c'))}), d -> {leaf('p.a', 'p.b', 'p.c', 'd.b')})))"""
     return fixed(rows.withColumn("_diamond", E(diamond)))
 
 
+def _test(types: tuple[str, ...], of: str = "x[{}]") -> str:
+    return " and ".join(f"{of.format(k)} in ('{t.replace('|', chr(39) + ', ' + chr(39))}')" for k, t in enumerate(types) if t) or "true"
+
+
 def _count(motif: str, variant: int) -> Column:
     shape, types = MOTIFS[motif][0], MOTIFS[motif][variant]
-    if types is None:
-        return F.lit(0)
-    said = [f"x[{k}] in ('{t.replace('|', chr(39) + ', ' + chr(39))}')" for k, t in enumerate(types) if t]
-    if motif == "M7" and variant == 2:  # the two ends are alike, so is their order
-        said = ["x[0] = 'Branch'", "x[1] = 'Transform'", "x[2] = 'Transform'"]
-    return E(f"size(filter(_{shape}, x -> {' and '.join(said) or 'true'}))")
+    return F.lit(0) if types is None else E(f"size(filter(_{shape}, x -> {_test(types)}))")
 
 
 def with_counts(graphs: DataFrame) -> DataFrame:
     """graphs plus counts and typed: array<int> in MOTIF_ORDER."""
     rows = _prepared(graphs)
     rows = rows.withColumn("counts", F.array(*[_count(m, 1) for m in MOTIF_ORDER])).withColumn("typed", F.array(*[_count(m, 2) for m in MOTIF_ORDER]))
-    return fixed(rows).drop("_t", "_e", "_s", "_edge", "_chain", "_fork", "_merge", "_loop", "_pairs", "_diamond")
+    return fixed(rows).drop(*_OWN)
+
+
+def disjoint(graphs: DataFrame, motifs: tuple[str, ...] = MOTIF_ORDER, variant: int = 2) -> DataFrame:
+    """(trace_id, motif_id, n_disjoint, node_sets): of each motif's node sets in ascending order, those that share no node with one taken
+    before (the original's places are all one set, so it finds 1 at most). variant: 1 for the counting types, 2 for the exact ones."""
+    unknown = [m for m in motifs if m not in MOTIFS]
+    if unknown:
+        raise ValueError(f"Unknown motif: {unknown[0]}")
+    rows = _prepared(graphs, ids=True)
+    none = "cast(array() as array<array<int>>)"
+    sets = lambda m: f"array_sort(array_distinct(transform(filter(_{MOTIFS[m][0]}, x -> {_test(MOTIFS[m][variant], '_t[x[{}]]')}), x -> array_sort(x))))"
+    greedy = lambda m: f"aggregate({sets(m)}, {none}, (acc, x) -> if(exists(acc, y -> arrays_overlap(x, y)), acc, array_append(acc, x)))"
+    found = [F.struct(F.lit(m).alias("motif_id"), E(none if MOTIFS[m][variant] is None else greedy(m)).alias("node_sets")) for m in motifs]
+    rows = fixed(rows.withColumn("_found", F.array(*found))).select("trace_id", F.inline("_found"))
+    return rows.select("trace_id", "motif_id", F.size("node_sets").alias("n_disjoint"), "node_sets")
 
 
 def counts(graphs: DataFrame) -> DataFrame:

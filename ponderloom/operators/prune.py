@@ -6,6 +6,7 @@ Thresholds are columns resolved for each row's domain, so one job serves all dom
 from __future__ import annotations
 
 from dataclasses import fields
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +75,22 @@ def regions(graphs: DataFrame) -> DataFrame:
     return fixed(rows.withColumn("regions", found).select(*graphs.columns, "regions"))
 
 
-def fuse(rows: DataFrame) -> DataFrame:
-    """Confidence of regions with nodes as the weighted mean of structure, 1 - calibration and 1 - reward (those that cfg uses)."""
+def scorer(places: tuple[str, ...], fallback):
+    """The first Column function that can be imported of places ("module:name"), or fallback: a score of one's own takes the place of a heuristic."""
+    for place in places:
+        module, _, name = place.partition(":")
+        try:
+            return getattr(import_module(module), name)
+        except (ImportError, AttributeError):
+            continue
+    return fallback
+
+
+def fuse(rows: DataFrame, calibration=calibration_score, reward=reward_score) -> DataFrame:
+    """Confidence of regions with nodes as the weighted mean of structure, 1 - calibration and 1 - reward (those that cfg uses).
+    calibration: a Column function of a step's text and type; reward: one of its text and that of the step before. Both give 0 to 1."""
     scored = F.transform("nodes", lambda n, i: F.struct(
-        n["id"].alias("id"), calibration_score(n["text"], n["type"]).alias("cal"), reward_score(n["text"], F.when(i > 0, F.get(F.col("nodes"), i - 1)["text"])).alias("rew"),
+        n["id"].alias("id"), calibration(n["text"], n["type"]).alias("cal"), reward(n["text"], F.when(i > 0, F.get(F.col("nodes"), i - 1)["text"])).alias("rew"),
     ))
     rows = fixed(rows.withColumn("_s", scored))
     mean = lambda f: f"aggregate(filter(_s, s -> array_contains(r.node_ids, s.id)), 0.0D, (a, s) -> a + s.{f}) / size(filter(_s, s -> array_contains(r.node_ids, s.id)))"

@@ -134,6 +134,13 @@ def wl_labels(graphs: DataFrame, rounds: int = 3, directed: bool = True) -> Data
     return fixed(rows.drop("_l", "_m", "_e"))
 
 
+def label_cosine(x: str, y: str) -> Column:
+    """Cosine of the label counts of two arrays of labels; 0 where one is empty."""
+    times = lambda labels, a, b: f"aggregate({labels}, 0.0D, (s, l) -> s + size(filter({a}, v -> v = l)) * size(filter({b}, v -> v = l)))"
+    own = lambda v: times(f"array_distinct({v})", v, v)
+    return E(f"if(size({x}) = 0 or size({y}) = 0, 0.0D, {times(f'array_intersect({x}, {y})', x, y)} / sqrt({own(x)} * {own(y)}))")
+
+
 def wl_pairs(rows: DataFrame) -> DataFrame:
     """rows: rep, is_query, labels. (rep_a, rep_b, similarity) of each query class and each class that shares a label: cosine of label counts."""
     counts = rows.select("rep", "is_query", F.explode("labels").alias("label")).groupBy("rep", "is_query", "label").agg(F.count("*").cast("double").alias("c"))

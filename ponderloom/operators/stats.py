@@ -57,9 +57,9 @@ def _row_ids(rows: DataFrame, key: str | None) -> DataFrame:
     return rows.withColumn("_id", F.xxhash64(key) if key else F.monotonically_increasing_id())
 
 
-def bootstrap(values: DataFrame, draws: int = 1000, seed: int = 42, confidence: float = 0.95, key: str | None = None) -> DataFrame:
-    """(low, high): percentiles of the mean of resamples. Poisson weights stand for drawing with replacement: each row gets a
-    weight in each draw, sums are combined before the shuffle, and no row is copied to another task."""
+def poisson(rows: DataFrame, draws: int, seed: int = 42, key: str | None = None) -> DataFrame:
+    """rows once for each draw b, with a weight w: Poisson weights stand for drawing with replacement. Sums are combined before the
+    shuffle, and no row is copied to another task."""
     u = (F.xxhash64("_id", "b", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
     cdf, p, k = [], math.exp(-1), 0
     total = p
@@ -69,8 +69,12 @@ def bootstrap(values: DataFrame, draws: int = 1000, seed: int = 42, confidence:
         p /= k
         total += p
     weight = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    rows = _row_ids(values, key).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("w", weight)
-    means = rows.groupBy("b").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
+    return _row_ids(rows, key).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("w", weight).drop("u")
+
+
+def bootstrap(values: DataFrame, draws: int = 1000, seed: int = 42, confidence: float = 0.95, key: str | None = None) -> DataFrame:
+    """(low, high): percentiles of the mean of resamples."""
+    means = poisson(values, draws, seed, key).groupBy("b").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("m"))
     a = (1 - confidence) / 2
     return means.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))
 
@@ -80,9 +84,7 @@ def bootstrap_rho(rows: DataFrame, draws: int = 500, seed: int = 42, key: str |
     ids = _row_ids(rows, key)
     r = ranked(ids.withColumnRenamed("x", "value").withColumn("g", F.lit(0)), "g").withColumnsRenamed({"rank": "rx", "value": "x"})
     r = ranked(r.withColumnRenamed("y", "value"), "g").withColumnRenamed("rank", "ry")
-    u = (F.xxhash64("_id", "b", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    w = sum((F.when(u >= c, 1).otherwise(0) for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885)), F.lit(0))
-    d = r.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", w)
+    d = poisson(r.drop("_id"), draws, seed, key) if key else poisson(r, draws, seed, "_id")
     s = d.groupBy("b").agg(*[F.sum(F.col("w") * e).alias(n) for n, e in (("s", F.lit(1)), ("sx", F.col("rx")), ("sy", F.col("ry")), ("sxx", F.col("rx") * F.col("rx")), ("syy", F.col("ry") * F.col("ry")), ("sxy", F.col("rx") * F.col("ry")))])
     rho = F.expr("(s * sxy - sx * sy) / nullif(sqrt((s * sxx - sx * sx) * (s * syy - sy * sy)), 0)")
     return s.select(rho.alias("rho")).agg(F.percentile("rho", F.lit(0.025)).alias("low"), F.percentile("rho", F.lit(0.975)).alias("high"))

@@ -8,7 +8,7 @@ from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import motifs as P
 from ..operators import validate as V
-from ..schema import MOTIF_ORDER, TYPES
+from ..schema import MOTIF_ORDER, MOTIFS, TYPES
 from .fixtures import CODE_SQL, event_graphs, event_sql, order_graphs
 from .text_q import RBE_ND
 
@@ -239,6 +239,27 @@ def motif_counts(spark, sf):
     return P.counts(event_graphs(spark, sf)).select("trace_id", "motif_id", "n_matches", "n_typed")
 
 
+_PLACES = {  # the exact types' places in graphs without cycles, each with its nodes
+    "M1": ("ty a JOIN ty b ON a.trace_id = b.trace_id AND b.src = a.dst", "[a.src, a.dst, b.dst]", _NO(("a.src", "b.dst"))),
+    "M2": (_FORKED := "ty a JOIN ty b ON a.trace_id = b.trace_id AND b.src = a.src AND a.dst < b.dst", "[a.src, a.dst, b.dst]", _NO(("a.dst", "b.dst"))),
+    "M7": (_FORKED, "[a.src, a.dst, b.dst]", _NO(("a.dst", "b.dst")) + " AND a.st = 'Branch' AND a.dt = 'Transform' AND b.dt = 'Transform'"),
+    "M3": (f"{_FORKED} JOIN ty x ON x.trace_id = a.trace_id AND x.src = a.dst JOIN ty y ON y.trace_id = a.trace_id AND y.src = b.dst AND y.dst = x.dst", "[a.src, a.dst, b.dst, x.dst]", _NO(("a.dst", "b.dst"), ("a.src", "x.dst"))),
+    "M8": ("ty a JOIN ty b ON a.trace_id = b.trace_id AND b.dst = a.dst AND a.src < b.src", "[a.src, b.src, a.dst]", _NO(("a.src", "b.src")) + " AND a.st = 'Transform' AND b.st = 'Transform' AND a.dt = 'Verify'"),
+    **{m: ("ty a", "[a.src, a.dst]", f"a.st = '{t[0]}' AND a.dt = '{t[1]}'") for m, (shape, _, t) in MOTIFS.items() if shape == "edge"},
+}
+_TAKEN = "oc AS (" + " UNION ALL ".join(f"SELECT a.trace_id, '{m}' AS motif_id, list_sort({ids}) AS ids FROM {src} WHERE {c}" for m, (src, ids, c) in _PLACES.items()) + """),
+os AS (SELECT *, row_number() OVER (PARTITION BY trace_id, motif_id ORDER BY ids) AS r FROM (SELECT DISTINCT * FROM oc)),
+tk(trace_id, motif_id, r, used, said, k) AS (SELECT trace_id, motif_id, 1::BIGINT, ids, array_to_string(ids, '-'), 1 FROM os WHERE r = 1
+UNION ALL SELECT tk.trace_id, tk.motif_id, os.r, CASE WHEN list_has_any(used, ids) THEN used ELSE list_concat(used, ids) END, CASE WHEN list_has_any(used, ids) THEN said ELSE said || ',' || array_to_string(ids, '-') END, k + CASE WHEN list_has_any(used, ids) THEN 0 ELSE 1 END FROM tk JOIN os ON os.trace_id = tk.trace_id AND os.motif_id = tk.motif_id AND os.r = tk.r + 1)"""
+
+
+@query(f"WITH RECURSIVE {event_sql('day', 'fork')}, {_TY}, {_TAKEN} SELECT trace_id, motif_id, max(k)::INTEGER AS n_disjoint, arg_max(said, r) AS node_sets FROM tk GROUP BY trace_id, motif_id")
+def motif_disjoint(spark, sf):
+    """Preset matches that share no node, of graphs with any."""
+    rows = P.disjoint(event_graphs(spark, sf)).where("n_disjoint > 0")
+    return rows.select("trace_id", "motif_id", "n_disjoint", F.array_join(F.transform("node_sets", lambda s: F.array_join(s, "-")), ",").alias("node_sets"))
+
+
 @query(MOTIF_SQL + " SELECT trace_id, motif_id, least(n_matches, 1) AS present, least(n_typed, 1) AS present_typed FROM mc")
 def motif_presence(spark, sf):
     return P.counts(event_graphs(spark, sf)).select("trace_id", "motif_id", "present", "present_typed")

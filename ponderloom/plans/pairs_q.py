@@ -168,3 +168,16 @@ def robust_tsi(spark, sf):
 
 
 QUERIES["robust_tsi"] = robust_tsi
+
+
+_DOT = lambda x, y: "(" + " + ".join(f"{x}.{p} * {y}.{p}" for p in _P) + ")"
+
+
+@query(f"{FLAGS_SQL}, cl AS (SELECT min(trace_id) AS rep, count(*) AS n, {', '.join(_P)} FROM fl GROUP BY {', '.join(_P)}) SELECT a.rep AS rep_a, b.rep AS rep_b, round(CASE WHEN {_DOT('a', 'a')} > 0 AND {_DOT('b', 'b')} > 0 THEN {_DOT('a', 'b')} / sqrt({_DOT('a', 'a')} * {_DOT('b', 'b')}) ELSE 0 END, 6) AS cosine FROM cl a JOIN cl b ON a.rep < b.rep")
+def motif_cosine(spark, sf):
+    """Cosine of motif vectors, of classes of graphs with equal ones; 0 where one has no motif."""
+    rows = G.fixed(with_counts(event_graphs(spark, sf)).select("trace_id", presence().alias("v")))
+    c = G.fixed(S.classes(rows, "v").select("rep", "v").withColumn("w", S.norm(F.col("v"))))  # 2^12 classes at most
+    both = S.against(c, c).where("rep_a < rep_b")
+    cosine = F.when((F.col("w_a") > 0) & (F.col("w_b") > 0), S.dot(F.col("v_a"), F.col("v_b")) / (F.col("w_a") * F.col("w_b"))).otherwise(0.0)
+    return both.select("rep_a", "rep_b", F.round(cosine, 6).alias("cosine"))

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import prune as R
-from ..operators import validate as V
-from ..operators.metrics import plan_redundancy
-from ..schema import NODE, PRUNE_GRID, PruneConfig
+from ..operators.pruning import annotated_graphs, conditions
+from ..schema import PRUNE_GRID, PruneConfig
 from .fixtures import event_graphs, event_sql, order_graphs
 from .text_q import RBE_ND
 
@@ -136,20 +135,8 @@ def prune_apply_edges(spark, sf):
 
 
 def prune_e2e(spark, sf):
-    """Control, structural and signal conditions over order graphs: compression, pass rate, integrity, regions, change of plan redundancy."""
-    g = order_graphs(spark, sf).withColumn("domain", F.lit("math"))
-    conditions = {"control": PruneConfig(), "structural": PruneConfig(), "signal": PruneConfig(use_calibration_signal=True, use_prm_signal=True)}
-    out = None
-    for name, cfg in conditions.items():
-        rows = R.regions(R.with_config(g, cfg))
-        if name == "control":  # nothing is found, so nothing is cut
-            rows = G.fixed(rows.withColumn("regions", F.slice("regions", 1, 0)))
-        rows = R.apply(R.fuse(rows) if name == "signal" else rows).withColumn("before", plan_redundancy(g))
-        new = rows.withColumn("old", F.size("nodes")).withColumn("k", F.size("regions")).drop("nodes", "edges").withColumnsRenamed({"pruned_nodes": "nodes", "pruned_edges": "edges"})
-        new = V.validate(new, strict=False).withColumn("after", plan_redundancy(g))
-        part = new.select(F.lit(name).alias("condition"), (1 - F.size("nodes") / F.col("old")).alias("c"), F.col("is_valid").cast("double").alias("v"), "integrity", "k", (F.col("after") - F.col("before")).alias("d"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("condition").agg(F.count("*").alias("n"), F.avg("c").alias("compression"), F.avg("v").alias("pass_rate"), F.avg("integrity").alias("integrity"), F.avg("k").alias("regions"), F.avg("d").alias("plan_change"))
+    """Control, structural and signal conditions over order graphs."""
+    return conditions(order_graphs(spark, sf))
 
 
 QUERIES["prune_e2e"] = prune_e2e
@@ -191,18 +178,6 @@ def fused_confidence(spark, sf):
     return R.long_regions(R.fuse(R.regions(g))).where("region_type = 'excessive_verification'").select("trace_id", "node_ids", F.round("confidence", 6).alias("confidence"))
 
 
-# Synthetic graphs with known redundant nodes: a chain of Transforms, then perhaps Verifies (all redundant), then perhaps more Transforms.
-
-
-def _synthetic(spark, n: int = 400):
-    base, verify, extra = F.col("id") % 5 + 6, F.when(F.col("id") % 3 == 0, F.col("id") % 2 + 2).otherwise(0), F.when(F.col("id") % 4 == 1, F.col("id") % 3 + 4).otherwise(0)
-    rows = spark.range(n).select(F.col("id").cast("string").alias("trace_id"), base.cast("int").alias("b"), verify.cast("int").alias("v"), extra.cast("int").alias("x"))
-    nodes = F.expr(f"cast(transform(sequence(1, b + v + x), i -> named_struct('id', i, 'type', if(i > b and i <= b + v, 'Verify', 'Transform'), 'text', concat('step ', i), 'span', named_struct('start', 0, 'end', 0))) as array<{NODE}>)")
-    edges = F.expr("cast(transform(sequence(1, b + v + x - 1), i -> named_struct('src', i, 'dst', i + 1)) as array<struct<src:int,dst:int>>)")
-    gold = F.expr("filter(sequence(1, b + v + x), i -> (i > b and i <= b + v) or i > b + v + 3)")
-    return G.fixed(rows.select("trace_id", nodes.alias("nodes"), edges.alias("edges"), gold.alias("gold"), F.lit("synthetic").alias("domain")))
-
-
 _SYN = """WITH s AS (SELECT r AS id, (r % 5 + 6)::INTEGER AS b, (CASE WHEN r % 3 = 0 THEN r % 2 + 2 ELSE 0 END)::INTEGER AS v, (CASE WHEN r % 4 = 1 THEN r % 3 + 4 ELSE 0 END)::INTEGER AS x FROM (SELECT unnest(range(0, 400)) AS r)),
 nd AS (SELECT id AS trace_id, unnest(range(1, b + v + x + 1)) AS id, b, v, x FROM s), ny AS (SELECT trace_id, id, CASE WHEN id > b AND id <= b + v THEN 'Verify' ELSE 'Transform' END AS type, (id > b AND id <= b + v) OR id > b + v + 3 AS gold FROM nd),
 t0 AS (SELECT trace_id, id, id - row_number() OVER (PARTITION BY trace_id ORDER BY id) AS grp FROM ny WHERE type = 'Transform'), t1 AS (SELECT trace_id, id, row_number() OVER (PARTITION BY trace_id, grp ORDER BY id) AS p FROM t0),
@@ -213,12 +188,12 @@ _PRF = "tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn),
 
 @query(_SYN.format(k=3) + f" SELECT {_PRF} FROM c")
 def prune_prf(spark, sf):
-    rows = R.regions(R.with_config(_synthetic(spark), PruneConfig())).withColumn("predicted", R.predicted())
+    rows = R.regions(R.with_config(annotated_graphs(spark), PruneConfig())).withColumn("predicted", R.predicted())
     out = R.agreement(rows)
     return out.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_SYN.format(k=k)} SELECT {k}::DOUBLE AS value, {_PRF} FROM c)" for k in PRUNE_GRID["max_consecutive_transforms"]))
 def threshold_scan(spark, sf):
-    out = R.scan(_synthetic(spark), PruneConfig(), {"max_consecutive_transforms": PRUNE_GRID["max_consecutive_transforms"]})
+    out = R.scan(annotated_graphs(spark), PruneConfig(), {"max_consecutive_transforms": PRUNE_GRID["max_consecutive_transforms"]})
     return out.select("value", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])

@@ -18,7 +18,7 @@ from ..operators import steps as ST
 from ..operators import validate as V
 from ..schema import MOTIF_ORDER, TYPES
 from .fixtures import CODE_SQL, EVENT_TYPE, event_graphs, event_sql, order_cots, order_graphs, sentences_sql, table
-from .graphs_q import _LOST, MATRIX, MOTIF_SQL, _lossy, _rounded
+from .graphs_q import _LOST, BASE, MATRIX, MOTIF_SQL, _lossy, _rounded
 from .text_q import RBE_ND
 
 QUERIES: dict = {}
@@ -107,8 +107,37 @@ def iaa_structure(spark, sf):
     return _rounded(A.structure_agreement(_two(spark, sf)), "mean_ged_similarity")
 
 
+# The graphs of both extractors as one table of nodes and edges, with their motifs.
+TWO_MOTIFS = f"WITH nd AS ({TWO} SELECT 'a' AS ex, trace_id AS trace, 'a' || trace_id AS trace_id, id, type FROM nd UNION ALL SELECT 'b', trace_id, 'b' || trace_id, id, type FROM ln), b AS (SELECT trace_id, ex, trace, max(id) AS n FROM nd GROUP BY ALL), ed AS (SELECT nd.trace_id, id AS src, id + 1 AS dst FROM nd JOIN b ON b.trace_id = nd.trace_id WHERE id < n UNION ALL SELECT nd.trace_id, id, id + 2 FROM nd JOIN b ON b.trace_id = nd.trace_id WHERE type = 'Branch' AND id + 2 <= n)" + MOTIF_SQL[len(BASE):]
+_MEANS = "mv AS (SELECT ex, motif_id, avg(least(n_typed, 1)) AS v FROM mc JOIN b ON b.trace_id = mc.trace_id GROUP BY ALL)"
+
+
+@query(f"{TWO_MOTIFS}, {_MEANS} SELECT round(corr(x.v, y.v), 6) AS mean_pearson_r FROM mv x JOIN mv y ON y.motif_id = x.motif_id WHERE x.ex = 'a' AND y.ex = 'b'")
 def iaa_motif(spark, sf):
-    return A.motif_agreement(_two(spark, sf))
+    return _rounded(A.motif_agreement(_two(spark, sf)), "mean_pearson_r")
+
+
+_WEIGHTS = "pr AS (SELECT b.ex, b.trace, motif_id, least(n_matches, 1) AS p, sum(least(n_matches, 1)) OVER (PARTITION BY mc.trace_id) AS t FROM mc JOIN b ON b.trace_id = mc.trace_id), wt AS (SELECT ex, trace, motif_id, CASE WHEN t > 0 THEN p / t ELSE 1 / 12.0::DOUBLE END AS v FROM pr)"
+
+
+@query(f"{TWO_MOTIFS}, {_WEIGHTS}, dr AS (SELECT motif_id, CASE WHEN stddev_pop(x.v) > 1e-8 AND stddev_pop(y.v) > 1e-8 THEN corr(x.v, y.v) END AS r FROM wt x JOIN wt y USING (trace, motif_id) WHERE x.ex = 'a' AND y.ex = 'b' GROUP BY motif_id) SELECT 'rbe' AS extractor_a, 'rbe_rand' AS extractor_b, round(coalesce(avg(r), 0), 6) AS r FROM dr")
+def iaa_dimension(spark, sf):
+    """Correlation over traces of each motif's weight, averaged over motifs."""
+    return _rounded(A.dimension_agreement(_two(spark, sf)), "r")
+
+
+def iaa_decision(spark, sf):
+    """Agreement of the rules, the length baseline and the segment extractor at three levels, and the decision."""
+    from .composed_q import _three
+
+    return A.decision(_three(spark, order_cots(spark, sf)))
+
+
+@query(f"WITH {RATERS}, e AS (SELECT item, category, count(*) AS c FROM rt GROUP BY ALL), i AS (SELECT item, (sum(c * c) - 3) / 6.0::DOUBLE AS p FROM e GROUP BY item), pe AS (SELECT sum(c * c) / (SELECT count(*) * count(*) FROM rt) AS x FROM (SELECT category, sum(c) AS c FROM e GROUP BY category)) SELECT round((avg(p) - max(x)) / (1 - max(x)), 6) AS kappa, true AS within FROM i, pe")
+def fleiss_interval(spark, sf):
+    """Kappa of the three raters, and whether its resampled interval holds it."""
+    out = A.fleiss_bootstrap(_raters(spark, sf))
+    return out.select(F.round("kappa", 6).alias("kappa"), ((F.col("low") <= F.col("kappa")) & (F.col("kappa") <= F.col("high")) & (F.col("low") < F.col("high"))).alias("within"))
 
 
 def gcs_lcs(spark, sf):
@@ -400,4 +429,4 @@ def session_traces(spark, sf):
     return sessions(table(spark, sf, "events"))
 
 
-QUERIES |= {f.__name__: f for f in (iaa_motif, gcs_lcs, alignment, gcp_calibration, gcp_category, gcp_sentences, synthetic_validation, extractor_benchmark, step_rebuild, step_classifier, fingerprint_mahalanobis, performance_correlation, bootstrap_ci, bootstrap_rho_ci, er_prediction, null_threshold)}
+QUERIES |= {f.__name__: f for f in (iaa_decision, gcs_lcs, alignment, gcp_calibration, gcp_category, gcp_sentences, synthetic_validation, extractor_benchmark, step_rebuild, step_classifier, fingerprint_mahalanobis, performance_correlation, bootstrap_ci, bootstrap_rho_ci, er_prediction, null_threshold)}

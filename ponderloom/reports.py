@@ -7,6 +7,7 @@ import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LIMIT = 1000
 
@@ -72,13 +73,49 @@ class OtlpExporter(NullExporter):
                 s.set_attribute(k, v)
 
 
+class LangfuseExporter(NullExporter):
+    def __init__(self):
+        from langfuse import Langfuse
+
+        self.client = Langfuse()
+
+    def export(self, name: str, **attributes) -> None:
+        self.client.create_event(name=name, metadata=attributes)
+
+
+KINDS = {"null": NullExporter, "list": ListExporter, "otlp": OtlpExporter, "langfuse": LangfuseExporter}
+
+
 def make_exporter(kind: str = "null") -> NullExporter:
-    """null, list or otlp; a kind whose library isn't installed falls back to null."""
-    if kind == "list":
-        return ListExporter()
-    if kind == "otlp":
-        try:
-            return OtlpExporter()
-        except ImportError:
-            return NullExporter()
-    return NullExporter()
+    """null, list, otlp or langfuse; a kind that is unknown, or whose library isn't installed, falls back to null."""
+    try:
+        return KINDS.get(kind, NullExporter)()
+    except ImportError:
+        return NullExporter()
+
+
+# Summaries of results, a few lines each
+
+
+def _lines(title: str, pairs) -> str:
+    shown = [(str(k), _text(v, 3)) for k, v in pairs]
+    width = max((len(k) for k, _ in shown), default=0)
+    return "\n".join([title, *[f"  {k:<{width}}  {v}" for k, v in shown]])
+
+
+def describe_row(df: DataFrame, title: str) -> str:
+    """A table of one row (a decision, a gold score, a threshold): a line for each column."""
+    row = df.first()
+    return _lines(title, row.asDict().items() if row else [])
+
+
+def describe_rules(violations: DataFrame, title: str = "Violations") -> str:
+    """Violations (rule, failure_mode): how many of each, and in how many traces."""
+    n = violations.groupBy("rule", "failure_mode").agg(F.count("*").alias("n"), F.countDistinct("trace_id").alias("traces")).orderBy(F.desc("n"), "rule", "failure_mode")
+    return _lines(title, [(f"{r['rule']} {r['failure_mode']}", f"{r['n']} in {r['traces']} traces") for r in n.limit(LIMIT).collect()])
+
+
+def describe_pruning(report: DataFrame, title: str = "Redundancy") -> str:
+    """prune.report's rows: traces, those with regions, tokens saved and their range."""
+    s = report.agg(F.count("*").alias("traces"), F.sum((F.col("n_regions") > 0).cast("long")).alias("with_regions"), *[F.sum(c).alias(c) for c in ("n_regions", "savings", "savings_low", "savings_high")])
+    return describe_row(s, title)

@@ -41,6 +41,16 @@ def write_traces(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def export_dataset(rows: DataFrame, path: str):
+    """Parquet files in a folder that a datasets library reads as they are; where it is installed, the data set read from there, else None."""
+    rows.write.parquet(path)
+    try:
+        from datasets import load_dataset
+    except ImportError:
+        return None
+    return load_dataset("parquet", data_dir=path)
+
+
 def write_graphs(rows: DataFrame, path: str) -> None:
     """One canonical JSON object a line (node text isn't part of it)."""
     rows.select(to_canonical_json().alias("value")).write.text(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ponderloom.operators import agreement as A
 from ponderloom.operators import fingerprint as FP
+from ponderloom.operators import motifs as MO
 from ponderloom.operators import nulls as N
 from ponderloom.operators import prune as R
 from ponderloom.operators import similarity as S
@@ -55,9 +56,9 @@ def test_savings_range(spark):
 
 
 def test_calibration_search(spark):
-    from ponderloom.plans.prune_q import _synthetic
+    from ponderloom.operators.pruning import annotated_graphs
 
-    config, f1 = R.calibrate(_synthetic(spark, 40), PruneConfig(), rounds=1)
+    config, f1 = R.calibrate(annotated_graphs(spark, 40), PruneConfig(), rounds=1)
     assert 0 < f1 <= 1 and isinstance(config, PruneConfig)
 
 
@@ -177,3 +178,47 @@ def test_null_models(spark):
     perm = N.permute_types(g, 2).collect()
     assert all(sorted(n.type for n in r.nodes) == sorted(n.type for n in perm[0].nodes) for r in perm) and len({tuple(n.type for n in r.nodes) for r in perm}) > 1
     assert N.ensemble(g, 1).groupBy("method").count().count() == 3
+
+
+def test_disjoint_motifs(spark):
+    """Against a plain greedy choice, and by hand."""
+    g = make(spark, ("c", "TTTTT", chain(5)), ("d", "BTTC", [(1, 2), (1, 3), (2, 4), (3, 4)]), ("v", "TV", chain(2)), ("e", "", []))
+    got = {(r.trace_id, r.motif_id): r.node_sets for r in MO.disjoint(g).collect()}
+    assert got["c", "M10"] == [[1, 2], [3, 4]] and got["c", "M1"] == [[1, 2, 3]] and got["c", "M3"] == []
+    assert got["d", "M3"] == [[1, 2, 3, 4]] and got["d", "M7"] == [[1, 2, 3]] and got["d", "M9"] == [[1, 2]] and got["v", "M5"] == [[1, 2]]
+    assert all(s == [] for (t, _), s in got.items() if t == "e") and len(got) == 4 * 12
+    with pytest.raises(ValueError, match="Unknown motif"):
+        MO.disjoint(g, ("M99",))
+
+
+def test_aligned_agreement(spark):
+    """Mean Fleiss kappa of two aligned sequences against a plain one."""
+    texts = {"x": ("RTVTVC", "RTVTTC"), "y": ("RTTV", "RTTV"), "z": ("TTTT", "TTTT"), "short": ("RT", "RT")}
+    rows = [make(spark, *[(t, p[k], chain(len(p[k]))) for t, p in texts.items()]).withColumn("extractor", F.lit(e)) for k, e in enumerate(("rbe_rand", "model"))]
+    got = A.aligned_agreement(rows[0].unionByName(rows[1])).first()
+
+    def kappa(a, b):
+        n = len(a)
+        same, e = sum(x == y for x, y in zip(a, b, strict=True)) / n, sum((((a + b).count(c)) / (2 * n)) ** 2 for c in set(a + b))
+        return 1.0 if abs(e - 1) < 1e-9 else (same - e) / (1 - e)
+
+    want = [kappa(*p) for t, p in texts.items() if t != "short"]
+    assert got.n == 3 and math.isclose(got.kappa, sum(want) / 3) and (got.extractor_a, got.extractor_b) == ("model", "rbe_rand")
+    d = A.decision(rows[0].unionByName(rows[1])).first()
+    assert d.graph_level == got.kappa and d.decisions[0].startswith("proceed") and "flag_length" in d.decisions and d.proceed and 0.5 < d.structure_level <= 1
+    none = A.decision(rows[0].where("false").unionByName(rows[1].where("false"))).first()
+    assert none.decisions == ["terminate"] and not none.proceed
+
+
+def test_fleiss_interval(spark):
+    rng = random.Random(3)
+    rows = [(i, r, c if rng.random() < 0.7 else rng.randrange(6)) for i in range(200) for c in [rng.randrange(6)] for r in range(3)]
+    df = spark.createDataFrame(rows, "item int, rater int, category int")
+    got = A.fleiss_bootstrap(df, draws=200).first()
+    assert math.isclose(got.kappa, A.fleiss_kappa(df).first().kappa) and got.low < got.kappa < got.high and got.high - got.low < 0.2
+
+
+def test_own_signals(spark):
+    g = R.regions(R.with_config(make(spark, ("a", "TTVVV", chain(5))).withColumn("domain", F.lit("math")), PruneConfig(use_calibration_signal=True, use_prm_signal=True)))
+    sure, unsure = (R.fuse(g, lambda text, kind, v=v: F.lit(v), lambda text, before, v=v: F.lit(v)).first().regions[0].confidence for v in (1.0, 0.0))
+    assert sure < unsure and R.scorer(("no_such_module:f", "math:no_such_name"), len) is len and R.scorer(("math:sqrt",), len) is math.sqrt

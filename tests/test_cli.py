@@ -16,6 +16,17 @@ def test_from_samples_to_pruned_graphs(spark, tmp_path, capsys):
     assert "entropy" in capsys.readouterr().out
 
 
+def test_experiments(spark, tmp_path):
+    assert cli.main(["calibrate", str(tmp_path / "k"), "--n", "40", "--rounds", "1"]) == 0
+    got = spark.read.json(str(tmp_path / "k")).first()
+    assert got.f1 > 0.5 and json.loads(got.config)["max_consecutive_transforms"] in (2, 3, 4, 5)
+    assert cli.main(["end_to_end", "synthetic", str(tmp_path / "e"), "--n", "20"]) == 0
+    rows = {r.condition: r for r in spark.read.json(str(tmp_path / "e")).collect()}
+    assert set(rows) == {"control", "structural", "signal"} and rows["control"].compression == 0 and rows["structural"].compression > 0
+    assert cli.main(["everything", "samples", str(tmp_path / "all")]) == 0
+    assert spark.read.json(str(tmp_path / "all" / "redundancy")).count() == 6 and spark.read.json(str(tmp_path / "all" / "decision")).first().decisions
+
+
 def test_unknown_command():
     with pytest.raises(SystemExit):
         cli.main(["nothing"])

@@ -69,8 +69,23 @@ def test_exporters():
         pass
     assert e.spans[0]["name"] == "job" and e.spans[0]["n"] == 1 and e.spans[0]["seconds"] >= 0
     assert isinstance(reports.make_exporter("unknown"), reports.NullExporter)
-    with reports.make_exporter("otlp").span("x"):
-        pass
+    for kind in ("otlp", "langfuse"):
+        with reports.make_exporter(kind).span("x"):
+            pass
+
+
+def test_summaries(spark):
+    one = spark.createDataFrame([(0.5, "GO")], "kappa double, decision string")
+    assert reports.describe_row(one, "Pilot") == "Pilot\n  kappa     0.500\n  decision  GO" and reports.describe_row(one.where("false"), "None") == "None"
+    v = spark.createDataFrame([("a", "R2", "x"), ("a", "R2", "x"), ("b", "R4", "y")], "trace_id string, rule string, failure_mode string")
+    assert reports.describe_rules(v).splitlines()[1:] == ["  R2 x  2 in 1 traces", "  R4 y  1 in 1 traces"]
+    p = spark.createDataFrame([("a", 2, 70, 42, 98), ("b", 0, 0, 0, 0)], "trace_id string, n_regions int, savings int, savings_low int, savings_high int")
+    assert "with_regions  1" in reports.describe_pruning(p) and "savings_high  98" in reports.describe_pruning(p)
+
+
+def test_dataset_export(spark, tmp_path):
+    readers.export_dataset(spark.range(3), str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).count() == 3
 
 
 def test_catalog_and_mixed_sources(spark, tmp_path):
