@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .graph import fixed
 from .metrics import graph_metrics
@@ -49,15 +50,22 @@ def signatures(m: DataFrame, by: str = "model") -> DataFrame:
     )
 
 
-def identify(rows: DataFrame, sigs: DataFrame, method: str = "mahalanobis", by: str = "model") -> DataFrame:
-    """trace_id, predicted, distance, confidence (inverse distances). Signatures: a row for each model, broadcast."""
+@F.pandas_udf(ArrayType(DoubleType()))
+def inverted(cov):
+    """Pseudo-inverses of signatures' covariances, with 1e-6 on the diagonal."""
     import numpy as np
 
-    got = sigs.select(by, "mean", "cov").collect()  # 18 + 324 numbers for each model
-    spark = rows.sparkSession
-    inverse = [(r[by], r["mean"], np.linalg.pinv(np.array(r["cov"]).reshape(DIM, DIM) + 1e-6 * np.eye(DIM)).ravel().tolist() if method == "mahalanobis" else []) for r in got]
-    known = spark.createDataFrame(inverse, f"_model {sigs.schema[by].dataType.simpleString()}, mean array<double>, inv array<double>")
-    pairs = fixed(rows.select("trace_id", "x", F.lit(0).alias("_k")).join(F.broadcast(known.withColumn("_k", F.lit(0))), "_k").withColumn("d", E("zip_with(x, mean, (a, b) -> a - b)")))
+    return cov.map(lambda c: np.linalg.pinv(np.array(c).reshape(DIM, DIM) + 1e-6 * np.eye(DIM)).ravel())
+
+
+def identify(rows: DataFrame, sigs: DataFrame, method: str = "mahalanobis", by: str = "model") -> DataFrame:
+    """trace_id, predicted, distance, confidence (inverse distances). Rows are dealt into blocks and signatures (a row for each model) go to each
+    block by an equi-join: Spark broadcasts them only where they are small. Nothing comes to the driver."""
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = sigs.select(F.col(by).alias("_model"), "mean", (inverted("cov") if method == "mahalanobis" else F.array().cast("array<double>")).alias("inv"))
+    known = fixed(known).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = rows.select("trace_id", "x", F.pmod(F.xxhash64("trace_id"), F.lit(blocks)).cast("int").alias("_k"))
+    pairs = fixed(dealt.join(known, "_k").withColumn("d", E("zip_with(x, mean, (a, b) -> a - b)")))
     if method == "mahalanobis":
         q = E(f"sqrt(greatest(0.0D, aggregate(transform(d, (a, i) -> a * aggregate(transform(d, (b, j) -> b * inv[i * {DIM} + j]), 0.0D, (s, v) -> s + v)), 0.0D, (s, v) -> s + v)))")
     elif method == "cosine":

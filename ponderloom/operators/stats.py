@@ -5,15 +5,23 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def ranked(long: DataFrame, *by: str) -> DataFrame:
-    """long (by, value) plus rank: average ranks of ties. Values are counted first, so the window is over distinct values."""
-    w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+def ranked(long: DataFrame, *by: str, parts: int = 64) -> DataFrame:
+    """long (by, value) plus rank: average ranks of ties. Values are counted first; the distinct ones of a group are cut at sampled quantiles
+    into parts, so that a window sees a part's values only, or the parts' totals. Where the cuts lie doesn't matter to the ranks."""
     counts = long.groupBy(*by, "value").agg(F.count("*").alias("c"))
-    ranks = counts.withColumn("rank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2).drop("c")
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(4 * parts)).alias("_cuts"), F.sum("c").alias("_all")).where("_all > 0").drop("_all")  # reads what the ranks read, so that the counts are worked out once
+    counts = counts.join(cuts.withColumnsRenamed({c: f"_{c}" for c in by}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*[f"_{c}" for c in by])
+    counts = counts.withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda q: q < F.col("value"))), F.lit(0))).drop("_cuts")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, "_part").agg(F.sum("c").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*by, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("_own", F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("l")
+    ranks = ranks.join(totals.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_part")]).select("l.*", "_before")
+    ranks = ranks.select(*by, "value", (F.col("_before") + F.col("_own") + (F.col("c") + 1) / 2).alias("rank"))
     return long.join(ranks, [*by, "value"])
 
 
@@ -104,11 +112,19 @@ def cohens_d(rows: DataFrame, value: str, group: str) -> DataFrame:
     return s.select(F.when((F.col("n1") < 2) | (F.col("n0") < 2) | (pooled <= 1e-10), 0.0).otherwise((F.col("m1") - F.col("m0")) / pooled).alias("d"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: Pearson's r; null where either is constant."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def partial_correlation(rows: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """r of x and y given z by the formula, and r_residual: by residuals whose slopes mix sample covariance and population variance."""
-    s = rows.agg(F.corr(x, y).alias("xy"), F.corr(x, z).alias("xz"), F.corr(y, z).alias("yz"), F.covar_samp(x, z).alias("cx"), F.covar_samp(y, z).alias("cy"), F.var_pop(z).alias("vz"), F.covar_pop(x, y).alias("pxy"), F.covar_pop(x, z).alias("pxz"), F.covar_pop(y, z).alias("pyz"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    s = rows.agg(correlation(x, y).alias("xy"), correlation(x, z).alias("xz"), correlation(y, z).alias("yz"), F.covar_samp(x, z).alias("cx"), F.covar_samp(y, z).alias("cy"), F.var_pop(z).alias("vz"), F.covar_pop(x, y).alias("pxy"), F.covar_pop(x, z).alias("pxz"), F.covar_pop(y, z).alias("pyz"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
     bx, by = "(case when vz > 1e-10 then cx / vz else 0 end)", "(case when vz > 1e-10 then cy / vz else 0 end)"
     r = f"(pxy - {by} * pxz - {bx} * pyz + {bx} * {by} * vz) / sqrt((vx - 2 * {bx} * pxz + {bx} * {bx} * vz) * (vy - 2 * {by} * pyz + {by} * {by} * vz))"
+    r = r.replace(" / sqrt(", " / nullif(sqrt(greatest(0.0D, ", 1) + "), 0.0D)"
     den = "sqrt((1 - xz * xz) * (1 - yz * yz))"
     return s.select(F.expr(f"case when {den} > 1e-10 then (xy - xz * yz) / {den} else 0 end").alias("r"), F.expr(r).alias("r_residual"))
 

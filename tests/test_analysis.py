@@ -222,3 +222,41 @@ def test_own_signals(spark):
     g = R.regions(R.with_config(make(spark, ("a", "TTVVV", chain(5))).withColumn("domain", F.lit("math")), PruneConfig(use_calibration_signal=True, use_prm_signal=True)))
     sure, unsure = (R.fuse(g, lambda text, kind, v=v: F.lit(v), lambda text, before, v=v: F.lit(v)).first().regions[0].confidence for v in (1.0, 0.0))
     assert sure < unsure and R.scorer(("no_such_module:f", "math:no_such_name"), len) is len and R.scorer(("math:sqrt",), len) is math.sqrt
+
+
+def test_ranks_in_parts(spark):
+    """Average ranks, whatever the parts: ties, one hot value, nulls in the group's key, a group of one value."""
+    rng = random.Random(5)
+    rows = [("a", rng.choice([0.0, 1.5, rng.random()])) for _ in range(500)] + [(None, float(k % 7)) for k in range(50)] + [("c", 3.0)] * 20
+    df = spark.createDataFrame(rows, "g string, value double")
+
+    def want(g):
+        values = sorted(v for k, v in rows if k == g)
+        return sorted((v, values.index(v) + (values.count(v) + 1) / 2) for v in values)
+
+    for parts in (2, 64):
+        got = B.ranked(df.where("g is not null"), "g", parts=parts).collect()
+        for g in ("a", "c"):
+            assert sorted((r.value, r["rank"]) for r in got if r.g == g) == want(g)
+    assert B.ranked(df.where("false"), "g").collect() == []
+
+
+def test_correlations_of_constants(spark):
+    df = spark.createDataFrame([(1.0, float(k), float(k * k)) for k in range(10)], "x double, y double, z double")
+    assert S.compare_scores(df, "x", "y").first().pearson is None and S.compare_scores(df, "y", "z").first().pearson == pytest.approx(0.9627, abs=1e-4)
+    assert B.partial_correlation(df, "x", "y", "z").first() is not None
+
+
+def test_identify_without_driver(spark):
+    """Models by blocks: equal to a plain search over all of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(f"t{k}", f"m{k % 3}", (rng.normal(k % 3, 1, FP.DIM)).tolist()) for k in range(90)], "trace_id string, model string, x array<double>")
+    sigs = FP.signatures(FP.moments(rows))
+    known = {r.model: (np.array(r.mean), np.linalg.pinv(np.array(r["cov"]).reshape(FP.DIM, FP.DIM) + 1e-6 * np.eye(FP.DIM))) for r in sigs.collect()}
+    got = {r.trace_id: r for r in FP.identify(rows, sigs).collect()}
+    for r in rows.collect():
+        d = {m: math.sqrt(max(0.0, (np.array(r.x) - mu) @ inv @ (np.array(r.x) - mu))) for m, (mu, inv) in known.items()}
+        best = min(d, key=d.get)
+        assert got[r.trace_id].predicted == best and math.isclose(got[r.trace_id].distance, d[best], rel_tol=1e-6)

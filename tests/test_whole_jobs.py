@@ -35,7 +35,7 @@ def test_trees_and_draws_are_the_operators_defaults(spark, sf, monkeypatch):
             return rows
 
     monkeypatch.setattr(Q.ST, "StepClassifier", Fitted)
-    monkeypatch.setattr(Q.B, "bootstrap_rho", lambda rows, draws=500, seed=42: got.append(draws))
+    monkeypatch.setattr(Q.B, "bootstrap_rho", lambda rows, draws=500, seed=42, key=None: got.append(draws))
     Q.step_classifier(spark, sf)
     Q.bootstrap_rho_ci(spark, sf)
     assert got == [100, 500]
