@@ -30,6 +30,14 @@ def test_records_and_archives(spark, tmp_path):
     assert os.path.isdir(f"{tmp_path}/w/index")
 
 
+def test_very_long_payload(spark, tmp_path):
+    html = "".join(f"<p>{k} é</p>" for k in range(250_000))
+    pages = spark.createDataFrame([(2, "u", html), (1, "v", html), (3, "w", "x")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive(pages, f"file://{tmp_path}/w").collect()}
+    digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    assert got[1] == (len(html.encode()), digest, "response", None) and got[2] == (len(html.encode()), digest, "revisit", 1) and got[3][0] == 1
+
+
 def test_empty(spark, tmp_path):
     assert warc.archive(spark.createDataFrame([], KIND), f"file://{tmp_path}/w").collect() == []
 
