@@ -1,4 +1,11 @@
+import math
+from collections import Counter
+
+import pytest
+
 from ponderloom.operators import motifs as MO
+from ponderloom.operators import similarity as S
+from ponderloom.plans import pairs_q as PQ
 from ponderloom.plans import stats_q as Q
 from ponderloom.plans.fixtures import event_graphs
 from ponderloom.schema import MOTIF_ORDER
@@ -39,3 +46,19 @@ def test_trees_and_draws_are_the_operators_defaults(spark, sf, monkeypatch):
     Q.step_classifier(spark, sf)
     Q.bootstrap_rho_ci(spark, sf)
     assert got == [100, 500]
+
+
+@pytest.mark.parametrize("name", ["unsup_tsi_pairs"])
+def test_pairs_are_not_shuffled(spark, sf, name):
+    plan = PQ.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_block" in plan and "hashpartitioning(rep_a" not in plan and "hashpartitioning(rep_b" not in plan
+
+
+def test_shared_labels_by_brute_force(spark):
+    """Counts of more than one, labels beside the types, pairs that share none, an empty class."""
+    labels = {"a": ["Retrieve", "Retrieve", "x", "x", "y"], "b": ["Retrieve", "Verify", "x", "x", "x"], "c": ["Verify", "z"], "d": ["Branch", "z"], "e": []}
+    got = {(r.rep_a, r.rep_b): r.similarity for r in S.wl_pairs(spark.createDataFrame([(k, True, v) for k, v in labels.items()], "rep string, is_query boolean, labels array<string>")).collect()}
+    counts = {k: Counter(v) for k, v in labels.items()}
+    dot = lambda x, y: sum(n * y[k] for k, n in x.items())
+    want = {(i, j): dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)) for i, x in counts.items() for j, y in counts.items() if dot(x, y)}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
