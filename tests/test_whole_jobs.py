@@ -48,7 +48,7 @@ def test_trees_and_draws_are_the_operators_defaults(spark, sf, monkeypatch):
     assert got == [100, 500]
 
 
-@pytest.mark.parametrize("name", ["unsup_tsi_pairs", "wl_similarity"])
+@pytest.mark.parametrize("name", ["unsup_tsi_pairs", "wl_similarity", "wl_kernel"])
 def test_pairs_are_not_shuffled(spark, sf, name):
     plan = PQ.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_block" in plan and "hashpartitioning(rep_a" not in plan and "hashpartitioning(rep_b" not in plan
