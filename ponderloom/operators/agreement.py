@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..functions.text import once, rule_type
-from ..schema import CODES
+from ..schema import CODES, MOTIF_ORDER
 from .graph import extract_by_length, extract_rules, fixed, type_codes
 from .motifs import presence, vector, with_counts
 from .similarity import described, edit_similarity, label_cosine, levenshtein_similarity, wl_labels
@@ -148,15 +148,44 @@ def kernel_agreement(graphs: DataFrame, rounds: int = 3) -> DataFrame:
     return pairs.groupBy("extractor_a", "extractor_b").agg(F.avg(label_cosine("labels_a", "labels_b")).alias("similarity"))
 
 
-def decision(graphs: DataFrame, length: str = "rbe_rand", syntax: str = "sbe", rules: tuple[str, ...] = ("rbe", "human")) -> DataFrame:
+def _compared(graphs: DataFrame, weight: str | None) -> DataFrame:
+    """A row for each pair of extractors (a < b): kappa, r and similarity as aligned_agreement, dimension_agreement and kernel_agreement have
+    them (null without any). Each graph is described once; a trace's graphs come together in one row. weight: as many traces have this one's graphs."""
+    rows = graphs.where("trace_id is not null").withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
+    rows = fixed(fixed(with_counts(wl_labels(rows)).withColumn("_p", presence())).select("trace_id", "extractor", "_w", type_codes().alias("codes"), vector(F.col("_p")).alias("v"), "labels"))
+    rows = rows.groupBy("trace_id").agg(F.collect_list(F.struct("extractor", "_w", "codes", "v", "labels")).alias("g"))
+    pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: x["extractor"] < y["extractor"]), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    cols = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("extractor", "codes", "v", "labels")]
+    pairs = rows.select(F.inline(pairs)).select(F.col("a._w").alias("w"), *cols).withColumn("z", align("codes_a", "codes_b"))
+    by = ["extractor_a", "extractor_b"]
+    pairs = fixed(fixed(pairs).select(*by, "v_a", "v_b", "w", _codes_kappa("z").alias("kappa"), label_cosine("labels_a", "labels_b").alias("s")))
+    total = lambda c: F.sum(F.col("w") * F.col(c))
+    few = fixed(pairs.groupBy(*by, "v_a", "v_b").agg(F.sum("w").alias("w"), total("kappa").alias("k"), F.sum(F.when(F.col("kappa").isNotNull(), F.col("w"))).alias("wk"), total("s").alias("s")))
+    # Weights of motifs by their moments: a motif that has one value throughout is left out, as one without deviation.
+    moments = []
+    for m in range(len(MOTIF_ORDER)):
+        x, y = F.get("v_a", m), F.get("v_b", m)
+        mean = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+        sd = lambda c: F.when(F.min(c) < F.max(c), F.sqrt(F.greatest(mean(c * c) - mean(c) * mean(c), F.lit(0.0)))).otherwise(0.0)  # noqa: E731, B023
+        moments.append(F.struct((mean(x * y) - mean(x) * mean(y)).alias("c"), sd(x).alias("sx"), sd(y).alias("sy")))
+    out = fixed(few.groupBy(*by).agg((F.sum("k") / F.sum("wk")).alias("kappa"), (F.sum("s") / F.sum("w")).alias("similarity"), F.array(*moments).alias("m")))
+    r = F.transform(F.filter("m", lambda m: (m["sx"] > 1e-8) & (m["sy"] > 1e-8)), lambda m: m["c"] / (m["sx"] * m["sy"]))
+    out = fixed(out.withColumn("m", r))
+    return out.select(*by, "kappa", "similarity", F.when(F.size("m") > 0, F.aggregate("m", F.lit(0.0), lambda a, b: a + b) / F.size("m")).alias("r"))
+
+
+def decision(graphs: DataFrame, length: str = "rbe_rand", syntax: str = "sbe", rules: tuple[str, ...] = ("rbe", "human"), weight: str | None = None) -> DataFrame:
     """One row: the three levels of agreement (means over pairs), the greatest correlation of a model's motifs with the length baseline's and with
-    the syntax extractor's, the decisions, and whether to go on. Models are the extractors that are neither of these nor of rules."""
-    motif = dimension_agreement(graphs)
+    the syntax extractor's, the decisions, and whether to go on. Models are the extractors that are neither of these nor of rules.
+    weight: a column that says for how many traces a trace stands."""
     model = lambda c: ~F.col(c).isin(length, syntax, *rules)
-    against = lambda name: F.coalesce(F.greatest(F.lit(0.0), F.max(F.when(((F.col("extractor_a") == name) & model("extractor_b")) | ((F.col("extractor_b") == name) & model("extractor_a")), F.col("r")))), F.lit(0.0))
-    one = aligned_agreement(graphs).agg(F.coalesce(F.avg("kappa"), F.lit(0.0)).alias("graph_level"))
-    one = one.join(motif.agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("motif_level"), against(length).alias("length_correlation"), against(syntax).alias("syntax_correlation")), F.lit(True))
-    one = one.join(kernel_agreement(graphs).agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("structure_level")), F.lit(True))  # one row each
+    r = F.coalesce("r", F.lit(0.0))
+    against = lambda name: F.coalesce(F.greatest(F.lit(0.0), F.max(F.when(((F.col("extractor_a") == name) & model("extractor_b")) | ((F.col("extractor_b") == name) & model("extractor_a")), r))), F.lit(0.0))
+    level = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    one = _compared(graphs, weight).agg(
+        level(F.coalesce("kappa", F.lit(0.0))).alias("graph_level"), level(r).alias("motif_level"), against(length).alias("length_correlation"),
+        against(syntax).alias("syntax_correlation"), level("similarity").alias("structure_level"),
+    )
     g, m = F.col("graph_level"), F.col("motif_level")
     first = F.when((g > 0.6) & (m > 0.6), "proceed_high").when((g >= 0.4) | (m >= 0.4), "proceed_caveat").otherwise("terminate")
     flags = [F.when(F.col("length_correlation") > 0.3, "flag_length"), F.when(F.col("syntax_correlation") > 0.7, "flag_syntax")]
@@ -245,6 +274,8 @@ def split_operations(sentence: str) -> list[str]:
 
 
 segments = F.pandas_udf(lambda texts: texts.map(split_operations), ArrayType(StringType()))
+#: The segments of a list of sentences, one after the other.
+all_segments = F.pandas_udf(lambda lists: lists.map(lambda xs: [p for x in xs for p in split_operations(x)], na_action="ignore"), ArrayType(StringType()))
 
 
 def operation_codes(types: str, parts: str) -> Column:

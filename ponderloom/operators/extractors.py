@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import rule_type, split_sentences
 from ..schema import NODE
-from .agreement import segments
+from .agreement import all_segments
 from .graph import branching_edges, fixed, forward_spans, normalise_type
 
 E = F.expr
@@ -22,10 +22,7 @@ def extract_segments(traces: DataFrame, text_col: str = "cot_text", classify: Ca
     Arrow UDF around a parser), repeated conditions made Transform, runs of one operation merged; spans found forward in the text."""
     keep = traces.columns
     s = fixed(traces.withColumn("_s", split_sentences(F.col(text_col))))
-    s = fixed(s.withColumn("_key", F.monotonically_increasing_id()))
-    parts = s.select("_key", F.posexplode("_s").alias("_at", "_t")).select("_key", "_at", segments("_t").alias("_p"))
-    parts = parts.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_p"))), lambda x: x["_p"])).alias("_p"))
-    s = fixed(s.join(parts, "_key", "left").withColumn("_p", F.coalesce("_p", E("cast(array() as array<string>)"))))
+    s = fixed(s.withColumn("_p", F.coalesce(all_segments("_s"), E("cast(array() as array<string>)"))))
     s = fixed(s.withColumn("_x", F.transform("_p", lambda p: F.struct(classify(p).alias("type"), p.alias("text"), F.lower(F.ltrim(p)).alias("low")))))
     kind = "struct<type:string,text:string,low:string>"
     cond = "(startswith(x.low, 'if ') or startswith(x.low, 'when ') or startswith(x.low, 'whether '))"

@@ -46,8 +46,8 @@ def synthetic_redundancy(spark, sf):
     return rows.select(F.explode(F.split("redundancy_types", ",")).alias("kind"), "regions").groupBy("kind").agg(F.count("*").alias("n"), F.avg(F.size("regions")).alias("mean_regions"))
 
 
-def _three(spark, traces):
-    named = lambda df, n: df.select("trace_id", F.lit(n).alias("extractor"), "nodes", "edges")
+def _three(spark, traces, *keep):
+    named = lambda df, n: df.select("trace_id", F.lit(n).alias("extractor"), "nodes", "edges", *keep)
     return named(G.extract_rules(traces), "rbe").unionByName(named(X.extract_segments(traces), "sbe")).unionByName(named(G.extract_by_length(traces), "rbe_rand"))
 
 

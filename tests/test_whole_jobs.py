@@ -2,9 +2,13 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from ponderloom.operators import agreement as A
 from ponderloom.operators import motifs as MO
 from ponderloom.operators import similarity as S
+from ponderloom.plans import composed_q as CQ
+from ponderloom.plans import fixtures as X
 from ponderloom.plans import pairs_q as PQ
 from ponderloom.plans import stats_q as Q
 from ponderloom.plans.fixtures import event_graphs
@@ -62,3 +66,13 @@ def test_shared_labels_by_brute_force(spark):
     dot = lambda x, y: sum(n * y[k] for k, n in x.items())
     want = {(i, j): dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)) for i, x in counts.items() for j, y in counts.items() if dot(x, y)}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_decision_counts_equal_texts(spark, sf):
+    """Each text once with its number gives what all orders give, and every order counts."""
+    every, texts = X.order_cots(spark, sf), X.order_texts(spark, sf)
+    assert texts.agg(F.sum("weight")).first()[0] == every.count() > texts.count()
+    some = every.limit(60).unionByName(every.limit(60).withColumn("trace_id", -1 - F.col("trace_id"))).localCheckpoint()
+    once = some.groupBy("cot_text").agg(F.min("trace_id").alias("trace_id"), F.count("*").alias("many"))
+    a, b = A.decision(A.extractors(spark, some)).first(), A.decision(CQ._three(spark, once, "many").where("extractor <> 'sbe'"), weight="many").first()
+    assert all(math.isclose(a[c], b[c], abs_tol=1e-9) for c in ("graph_level", "motif_level", "structure_level")) and a.decisions == b.decisions
