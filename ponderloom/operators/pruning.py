@@ -25,17 +25,20 @@ def annotated_graphs(spark: SparkSession, n: int = 400) -> DataFrame:
     return fixed(rows.select("trace_id", nodes.alias("nodes"), edges.alias("edges"), gold.alias("gold"), F.lit("synthetic").alias("domain")))
 
 
-def conditions(graphs: DataFrame, domain: str = "math") -> DataFrame:
-    """condition, n, and the means over graphs of compression, pass rate, integrity, regions and change of plan redundancy. Under "control" nothing is found or cut."""
-    g = graphs.withColumn("domain", F.lit(domain))
-    out = None
+def conditions(graphs: DataFrame, domain: str = "math", weight: str | None = None) -> DataFrame:
+    """condition, n, and the means over graphs of compression, pass rate, integrity, regions and change of plan redundancy. Under "control" nothing is found or cut.
+    All conditions follow from one pass over the graphs. weight: a column that says for how many graphs one stands."""
+    rows = graphs.withColumn("domain", F.lit(domain)).withColumn("_weight", F.col(weight).cast("long") if weight else F.lit(1).cast("long")).withColumn("before", plan_redundancy(graphs))
     for name, cfg in CONDITIONS.items():
-        rows = R.regions(R.with_config(g, cfg or PruneConfig()))
-        if cfg is None:
-            rows = fixed(rows.withColumn("regions", F.slice("regions", 1, 0)))
-        rows = R.apply(R.fuse(rows) if name == "signal" else rows).withColumn("before", plan_redundancy(g))
-        new = rows.withColumn("old", F.size("nodes")).withColumn("k", F.size("regions")).drop("nodes", "edges").withColumnsRenamed({"pruned_nodes": "nodes", "pruned_edges": "edges"})
-        new = validate(new, strict=False).withColumn("after", plan_redundancy(g))
-        part = new.select(F.lit(name).alias("condition"), (1 - F.size("nodes") / F.col("old")).alias("c"), F.col("is_valid").cast("double").alias("v"), "integrity", "k", (F.col("after") - F.col("before")).alias("d"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("condition").agg(F.count("*").alias("n"), F.avg("c").alias("compression"), F.avg("v").alias("pass_rate"), F.avg("integrity").alias("integrity"), F.avg("k").alias("regions"), F.avg("d").alias("plan_change"))
+        rows = R.with_config(rows, cfg or PruneConfig()).withColumnRenamed("cfg", f"_{name}")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("condition"), F.col(f"_{name}").alias("cfg")) for name in CONDITIONS]))
+    rows = fixed(rows).select("trace_id", "nodes", "edges", "_weight", "before", each.alias("_c")).select("*", "_c.*").drop("_c")
+    rows = R.regions(rows).withColumn("_plain", F.col("regions"))
+    none = [name for name, cfg in CONDITIONS.items() if cfg is None]
+    mine = F.when(F.col("condition").isin(none), F.slice("_plain", 1, 0)).when(F.col("condition") == "signal", F.col("regions")).otherwise(F.col("_plain"))
+    rows = R.apply(fixed(R.fuse(rows).withColumn("regions", mine).drop("_plain")))
+    new = rows.withColumn("old", F.size("nodes")).withColumn("k", F.size("regions")).drop("nodes", "edges").withColumnsRenamed({"pruned_nodes": "nodes", "pruned_edges": "edges"})
+    new = validate(new, strict=False).withColumn("after", plan_redundancy(graphs))
+    out = fixed(new.select("condition", "_weight", (1 - F.size("nodes") / F.col("old")).alias("c"), F.col("is_valid").cast("double").alias("v"), "integrity", F.col("k").cast("double").alias("k"), (F.col("after") - F.col("before")).alias("d")))
+    mean = lambda c: F.sum(F.col("_weight") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("_weight")))
+    return out.groupBy("condition").agg(F.sum("_weight").alias("n"), mean("c").alias("compression"), mean("v").alias("pass_rate"), mean("integrity").alias("integrity"), mean("k").alias("regions"), mean("d").alias("plan_change"))

@@ -9,7 +9,7 @@ from ..operators import graph as G
 from ..operators import prune as R
 from ..operators.pruning import annotated_graphs, conditions
 from ..schema import PRUNE_GRID, PruneConfig
-from .fixtures import event_graphs, event_sql, order_graphs
+from .fixtures import event_graphs, event_sql, order_graphs, order_texts
 from .text_q import RBE_ND
 
 QUERIES: dict = {}
@@ -135,8 +135,8 @@ def prune_apply_edges(spark, sf):
 
 
 def prune_e2e(spark, sf):
-    """Control, structural and signal conditions over order graphs."""
-    return conditions(order_graphs(spark, sf))
+    """Control, structural and signal conditions over order graphs. Equal texts are one graph, which counts as often as they occur."""
+    return conditions(G.extract_rules(order_texts(spark, sf)), weight="weight")
 
 
 QUERIES["prune_e2e"] = prune_e2e

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ponderloom.operators import agreement as A
+from ponderloom.operators import graph as G
 from ponderloom.operators import motifs as MO
+from ponderloom.operators import pruning as PR
 from ponderloom.operators import similarity as S
 from ponderloom.plans import composed_q as CQ
 from ponderloom.plans import fixtures as X
@@ -76,3 +78,11 @@ def test_decision_counts_equal_texts(spark, sf):
     once = some.groupBy("cot_text").agg(F.min("trace_id").alias("trace_id"), F.count("*").alias("many"))
     a, b = A.decision(A.extractors(spark, some)).first(), A.decision(CQ._three(spark, once, "many").where("extractor <> 'sbe'"), weight="many").first()
     assert all(math.isclose(a[c], b[c], abs_tol=1e-9) for c in ("graph_level", "motif_level", "structure_level")) and a.decisions == b.decisions
+
+
+def test_conditions_count_equal_texts(spark, sf):
+    some = X.order_cots(spark, sf).limit(40).localCheckpoint()
+    twice = some.unionByName(some.withColumn("trace_id", -1 - F.col("trace_id")))
+    once = some.groupBy("cot_text").agg(F.min("trace_id").alias("trace_id"), (2 * F.count("*")).alias("many"))
+    a, b = ({r.condition: r for r in c.collect()} for c in (PR.conditions(G.extract_rules(twice)), PR.conditions(G.extract_rules(once), weight="many")))
+    assert a.keys() == b.keys() == {"control", "structural", "signal"} and all(math.isclose(a[k][c], b[k][c], abs_tol=1e-12) for k in a for c in ("n", "compression", "pass_rate", "integrity", "regions", "plan_change"))
