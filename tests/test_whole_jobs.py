@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ponderloom.operators import agreement as A
 from ponderloom.operators import graph as G
+from ponderloom.operators import metrics as M
 from ponderloom.operators import motifs as MO
 from ponderloom.operators import pruning as PR
 from ponderloom.operators import similarity as S
@@ -86,3 +87,14 @@ def test_conditions_count_equal_texts(spark, sf):
     once = some.groupBy("cot_text").agg(F.min("trace_id").alias("trace_id"), (2 * F.count("*")).alias("many"))
     a, b = ({r.condition: r for r in c.collect()} for c in (PR.conditions(G.extract_rules(twice)), PR.conditions(G.extract_rules(once), weight="many")))
     assert a.keys() == b.keys() == {"control", "structural", "signal"} and all(math.isclose(a[k][c], b[k][c], abs_tol=1e-12) for k in a for c in ("n", "compression", "pass_rate", "integrity", "regions", "plan_change"))
+
+
+def test_entropy_to_the_last_bit(spark):
+    """Classes are told apart by equal features, as in the SQL: the entropy must have the C library's bits."""
+    codes = ["R" * a + "T" * b + "V" * c + "K" * d for a in range(4) for b in range(5) for c in range(4) for d in range(4) if a + b + c + d]
+    rows = X.wired(spark.createDataFrame([(c,) for c in codes], "trace_id string").withColumn("nodes", G.coded_nodes("trace_id")))
+    for r in M.level1(rows).collect():
+        n, want = len(r.trace_id), 0.0
+        for t in (r.n_retrieve, r.n_transform, r.n_compare, r.n_verify, r.n_branch, r.n_backtrack):
+            want += -(t / n) * math.log2(t / n) if t else 0.0
+        assert r.topological_entropy == want, r.trace_id
