@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -15,7 +16,7 @@ from ponderloom.plans import fixtures as X
 from ponderloom.plans import pairs_q as PQ
 from ponderloom.plans import stats_q as Q
 from ponderloom.plans.fixtures import event_graphs
-from ponderloom.schema import MOTIF_ORDER
+from ponderloom.schema import MOTIF_ORDER, NODE
 
 
 def test_er_prediction_has_motifs_and_five_folds(spark, sf, monkeypatch):
@@ -98,3 +99,59 @@ def test_entropy_to_the_last_bit(spark):
         for t in (r.n_retrieve, r.n_transform, r.n_compare, r.n_verify, r.n_branch, r.n_backtrack):
             want += -(t / n) * math.log2(t / n) if t else 0.0
         assert r.topological_entropy == want, r.trace_id
+
+
+def test_labels_of_long_graphs(spark):
+    """By brute force: loops, double edges, edges to no node, ids in no order; and in time that grows with the nodes, not with their square."""
+    import hashlib
+    import time
+
+    rng = random.Random(5)
+
+    def graph(name, n):
+        ids = rng.sample(range(1, 3 * n), n)
+        edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(2 * n)]
+        return name, [(i, rng.choice(["Retrieve", "Verify", "Branch"]), "", (0, 0)) for i in ids], edges + edges[:9] + [(ids[0], ids[0]), (ids[1], 4 * n), (4 * n, ids[-1])]
+
+    def labels(nodes, edges, rounds, directed):
+        now, edges, out = {n[0]: n[1] for n in nodes}, set(edges), [n[1] for n in nodes]
+        near = lambda ids: sorted(now[i] for i in ids if i in now)
+        for _ in range(rounds if directed else rounds - 1):
+            if directed:
+                said = {x: ",".join(near(s for s, d in edges if d == x) + near(d for s, d in edges if s == x)) for x in now}
+            else:
+                said = {x: "|".join(near({d if s == x else s for s, d in edges if x in (s, d)})) for x in now}
+            now = {x: hashlib.md5(f"{v}|{said[x]}".encode()).hexdigest() for x, v in now.items()}
+            out += now.values()
+        return out
+
+    rows = [graph("a", 60), graph("b", 7), ("c", [], []), graph("d", 2)]
+    frame = lambda rows: spark.createDataFrame(rows, f"trace_id string, nodes array<{NODE}>, edges array<struct<src:int,dst:int>>")
+    for directed in (True, False):
+        got = {r.trace_id: r.labels for r in S.wl_labels(frame(rows), 3, directed).collect()}
+        assert got == {name: labels(nodes, edges, 3, directed) for name, nodes, edges in rows}
+    long = frame([graph("a", 6000)])
+    began = time.time()
+    assert len(S.wl_labels(long).first().labels) == 4 * 6000
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("name", ["unsup_tsi_pairs", "wl_similarity", "wl_kernel"])
+def test_labels_are_dealt_to_tasks(spark, sf, name):
+    """Classes are few bytes: unless they are dealt out by number, one task describes them all."""
+    assert "hashpartitioning(rep#" in PQ.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_in_parts_and_pieces(spark, monkeypatch):
+    """Any number of parts, pieces down to a query's own and batches that cut a part give the same pairs."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(f"r{k}", k % 3 == 0, [rng.choice("uvwxyz") for _ in range(rng.randrange(9))] + rng.choices(["Verify", "Branch"], k=k % 3)) for k in range(90)], "rep string, is_query boolean, labels array<string>").localCheckpoint()
+    want = {tuple(r) for r in S.wl_pairs(rows).collect()}
+    assert len(want) > 1000
+    assert {tuple(r) for r in S.wl_pairs(rows, 1).collect()} == want
+    monkeypatch.setattr(S, "CELLS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {tuple(r) for r in S.wl_pairs(rows, 6).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
