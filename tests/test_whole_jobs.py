@@ -155,3 +155,21 @@ def test_products_in_parts_and_pieces(spark, monkeypatch):
         assert {tuple(r) for r in S.wl_pairs(rows, 6).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("by", ["day", "user"])
+def test_event_shuffle_has_no_texts(spark, sf, by, monkeypatch):
+    """Events meet by user and day, as numbers; graphs are those of the texts, also for rows without user or time."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    odd = e.limit(50).withColumn("event_id", -1 - F.col("event_id"))
+    null = lambda c: F.lit(None).cast(dict(e.dtypes)[c])
+    every = e.unionByName(odd.withColumn("user_id", null("user_id"))).unionByName(odd.withColumn("ts", null("ts"))).unionByName(odd.limit(9).withColumn("ts", null("ts")).withColumn("user_id", null("user_id")).withColumn("event_type", null("event_type"))).localCheckpoint()
+    monkeypatch.setattr(X, "table", lambda *_: every)
+    trace = F.concat_ws("_", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")) if by == "day" else F.col("user_id").cast("string")
+    want = every.groupBy(trace.alias("trace_id"), "user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.expr(X.EVENT_TYPE).alias("type")))).alias("x")).select("trace_id", "user_id", "x.type").collect()
+    nodes = X.event_nodes(spark, sf, by)
+    got = nodes.select("trace_id", "user_id", "nodes.type", "nodes.id").collect()
+    assert {(r.trace_id, r.user_id): list(r.type) for r in got} == {(r.trace_id, r.user_id): list(r.type) for r in want} and len(got) == len(want)
+    assert all(r.id == list(range(1, len(r.type) + 1)) for r in got)
+    dealt = nodes._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]
+    assert len(dealt) == 1 and dealt[0].startswith("user_id")
