@@ -6,11 +6,11 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..functions.text import once, rule_type
 from ..schema import CODES, MOTIF_ORDER
-from .graph import extract_by_length, extract_rules, fixed, type_codes
+from .graph import branching_edges, coded_nodes, extract_by_length, extract_rules, fixed, type_codes
 from .motifs import presence, vector, with_counts
 from .similarity import described, edit_similarity, label_cosine, levenshtein_similarity, wl_labels
 from .stats import poisson
@@ -148,19 +148,113 @@ def kernel_agreement(graphs: DataFrame, rounds: int = 3) -> DataFrame:
     return pairs.groupBy("extractor_a", "extractor_b").agg(F.avg(label_cosine("labels_a", "labels_b")).alias("similarity"))
 
 
+@F.arrow_udf(StructType([StructField("kappa", DoubleType()), StructField("s", DoubleType())]))
+def _agreed(x, y, a, b):
+    """kappa: that of two type sequences (letters), aligned as align does, over the positions where neither has a gap; null with fewer than three of
+    those. s: cosine of the counts of two lists of labels (numbers); 0 where one is empty. All rows of a batch at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    def kappas(x, y):
+        """x, y: letters in rows, 0 where a sequence has ended."""
+        n, lx, ly = len(x), (x > 0).sum(1), (y > 0).sum(1)
+        across = np.arange(y.shape[1] + 1, dtype=np.int32)
+        d = np.empty((x.shape[1] + 1, n, len(across)), np.int32)
+        d[0] = across
+        for i in range(1, len(d)):
+            step = d[i - 1] + 1
+            step[:, 1:] = np.minimum(step[:, 1:], d[i - 1][:, :-1] + (x[:, i - 1, None] != y))
+            d[i] = np.minimum.accumulate(step - across, axis=1) + across
+        i, j, at = lx.copy(), ly.copy(), np.arange(n)
+        both, same, seen = np.zeros(n), np.zeros(n), np.zeros((n, 256))
+        while len(at := at[(i[at] > 0) | (j[at] > 0)]):
+            p, q = i[at], j[at]
+            here, inside = d[p, at, q], (p > 0) & (q > 0)
+            u, v = x[at, p - 1], y[at, q - 1]
+            along = inside & (here == d[p - 1, at, q - 1] + (u != v))
+            up = ~along & (p > 0) & (here == d[p - 1, at, q] + 1)
+            k, u, v = at[along], u[along], v[along]
+            both[k] += 1
+            same[k] += u == v
+            seen[k, u] += 1
+            seen[k, v] += 1
+            i[at] -= along | up
+            j[at] -= ~up
+        some = np.maximum(both, 1)
+        chance = sum(((seen[:, ord(c)] / (2 * some)) ** 2 for c in CODES.values()), np.zeros(n))
+        sure = np.abs(chance - 1) < 1e-9
+        return np.where(both >= 3, np.where(sure, 1.0, (same / some - chance) / np.where(sure, 1.0, 1 - chance)), np.nan)
+
+    def letters(column):
+        rows = np.array(column.fill_null("").to_pylist(), dtype="S")
+        return rows.view(np.uint8).reshape(len(rows), rows.itemsize), np.char.str_len(rows)
+
+    def counted(rows, labels):
+        """Each row's labels, as numbers of row and label, and how often it has them."""
+        return np.unique(rows * len(known) + labels, return_counts=True)
+
+    n, kappa = len(x), np.empty(len(x))
+    (x, lx), (y, ly) = letters(x), letters(y)
+    order, begin = np.lexsort((ly, lx)), 0
+    while begin < n:  # sequences of like lengths together, some 4 million cells at once
+        rows = order[begin : begin + 4096]
+        cells = np.arange(1, len(rows) + 1) * (lx[rows] + 1) * (np.maximum.accumulate(ly[rows]) + 1)
+        rows = rows[: max(1, int((cells <= 1 << 22).sum()))]
+        kappa[rows] = kappas(x[rows, : max(1, lx[rows].max())], y[rows, : max(1, ly[rows].max())])
+        begin += len(rows)
+    sizes = [np.diff(c.offsets.to_numpy()) for c in (a, b)]
+    known, number = np.unique(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in (a, b)]), return_inverse=True)
+    (ka, ca), (kb, cb) = (counted(np.repeat(np.arange(n), k), part) for k, part in zip(sizes, np.split(number, [sizes[0].sum()]), strict=True))
+    shared, at_a, at_b = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    added = lambda keys, values: np.bincount(keys // max(1, len(known)), values, n)
+    own = added(ka, ca * ca) * added(kb, cb * cb)
+    s = added(shared, ca[at_a] * cb[at_b]) / np.sqrt(np.where(own > 0, own, 1))
+    return pa.StructArray.from_arrays([pa.array(kappa, mask=np.isnan(kappa)), pa.array(s)], ["kappa", "s"])
+
+
+def _described(graphs: DataFrame, *keep: str) -> DataFrame:
+    """keep, codes, p (a digit for each motif: 1 where it is present), labels (as 64 bits each)."""
+    rows = fixed(with_counts(wl_labels(graphs)))
+    return fixed(rows.select(*keep, type_codes().alias("codes"), F.array_join(F.transform("counts", lambda c: F.when(c > 0, "1").otherwise("0")), "").alias("p"), F.transform("labels", lambda x: F.xxhash64(x)).alias("labels")))
+
+
+def _paired(rows: DataFrame, *cols: str) -> DataFrame:
+    """rows: w, g (an array of structs with extractor and cols). A row for each pair of extractors (a < b): w, extractor_a, cols with _a, and so for b."""
+    pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: x["extractor"] < y["extractor"]), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return rows.select("w", F.inline(pairs)).select("w", *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("extractor", *cols)])
+
+
 def _compared(graphs: DataFrame, weight: str | None) -> DataFrame:
-    """A row for each pair of extractors (a < b): kappa, r and similarity as aligned_agreement, dimension_agreement and kernel_agreement have
-    them (null without any). Each graph is described once; a trace's graphs come together in one row. weight: as many traces have this one's graphs."""
+    """_summed of graphs. Each graph is described once; a trace's graphs come together in one row. weight: as many traces have this one's graphs."""
     rows = graphs.where("trace_id is not null").withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
-    rows = fixed(fixed(with_counts(wl_labels(rows)).withColumn("_p", presence())).select("trace_id", "extractor", "_w", type_codes().alias("codes"), vector(F.col("_p")).alias("v"), "labels"))
-    rows = rows.groupBy("trace_id").agg(F.collect_list(F.struct("extractor", "_w", "codes", "v", "labels")).alias("g"))
-    pairs = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: x["extractor"] < y["extractor"]), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    cols = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("extractor", "codes", "v", "labels")]
-    pairs = rows.select(F.inline(pairs)).select(F.col("a._w").alias("w"), *cols).withColumn("z", align("codes_a", "codes_b"))
+    rows = _described(rows, "trace_id", "extractor", "_w").groupBy("trace_id").agg(F.collect_list(F.struct("extractor", "_w", "codes", "p", "labels")).alias("g"))
+    return _summed(_paired(rows.withColumn("w", F.lit(None)), "_w", "codes", "p", "labels").withColumn("w", F.col("_w_a")))
+
+
+def compared_codes(traces: DataFrame) -> DataFrame:
+    """_summed of graphs that follow from their types (branching_edges). traces: w, g (an array of extractor and codes, a letter for each node). Equal
+    sequences are one class, described once; a pair of classes of two extractors is compared once and counts as often as it occurs."""
+    by = ["extractor_a", "extractor_b", "codes_a", "codes_b"]
+    pairs = _paired(traces, "codes").where("codes_a is not null and codes_b is not null").groupBy(*by).agg(F.sum("w").alias("w"))
+    # The condition on w is always true: with it both uses of pairs have the same shuffle, which then is done once.
+    codes = fixed(pairs.where("w > 0")).select(F.explode(F.array("codes_a", "codes_b")).alias("codes")).distinct()
+    codes = codes.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # short texts, but work: else they come in few tasks
+    classes = fixed(fixed(codes.withColumn("nodes", coded_nodes("codes"))).withColumn("edges", branching_edges()))
+    classes = _described(classes.select(F.col("codes").alias("key"), "nodes", "edges"), "key")
+    side = lambda s: classes.select(F.col("key").alias(f"codes_{s}"), F.col("p").alias(f"p_{s}"), F.col("labels").alias(f"labels_{s}"))
+    return _summed(fixed(pairs.where("w > 0")).join(side("a"), "codes_a").join(side("b"), "codes_b"))
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    """A row for each pair of extractors (a < b): kappa, r and similarity as aligned_agreement, dimension_agreement and kernel_agreement have
+    them (null without any). pairs: w, and of each side extractor, codes, p and labels."""
     by = ["extractor_a", "extractor_b"]
-    pairs = fixed(fixed(pairs).select(*by, "v_a", "v_b", "w", _codes_kappa("z").alias("kappa"), label_cosine("labels_a", "labels_b").alias("s")))
+    pairs = fixed(pairs.select(*by, "p_a", "p_b", F.col("w").cast("double").alias("w"), _agreed("codes_a", "codes_b", "labels_a", "labels_b").alias("z"))).select(*by, "p_a", "p_b", "w", "z.*")
     total = lambda c: F.sum(F.col("w") * F.col(c))
-    few = fixed(pairs.groupBy(*by, "v_a", "v_b").agg(F.sum("w").alias("w"), total("kappa").alias("k"), F.sum(F.when(F.col("kappa").isNotNull(), F.col("w"))).alias("wk"), total("s").alias("s")))
+    few = fixed(pairs.groupBy(*by, "p_a", "p_b").agg(F.sum("w").alias("w"), total("kappa").alias("k"), F.sum(F.when(F.col("kappa").isNotNull(), F.col("w"))).alias("wk"), total("s").alias("s")))
+    digits = lambda p: F.transform(F.sequence(F.lit(1), F.lit(len(MOTIF_ORDER))), lambda m: F.substr(F.col(p), m, F.lit(1)).cast("double"))
+    few = fixed(few.withColumn("p_a", digits("p_a")).withColumn("p_b", digits("p_b")))
+    few = fixed(few.withColumn("v_a", vector(F.col("p_a"))).withColumn("v_b", vector(F.col("p_b"))))
     # Weights of motifs by their moments: a motif that has one value throughout is left out, as one without deviation.
     moments = []
     for m in range(len(MOTIF_ORDER)):
@@ -175,14 +269,18 @@ def _compared(graphs: DataFrame, weight: str | None) -> DataFrame:
 
 
 def decision(graphs: DataFrame, length: str = "rbe_rand", syntax: str = "sbe", rules: tuple[str, ...] = ("rbe", "human"), weight: str | None = None) -> DataFrame:
+    """decided, of graphs. weight: a column that says for how many traces a trace stands."""
+    return decided(_compared(graphs, weight), length, syntax, rules)
+
+
+def decided(compared: DataFrame, length: str = "rbe_rand", syntax: str = "sbe", rules: tuple[str, ...] = ("rbe", "human")) -> DataFrame:
     """One row: the three levels of agreement (means over pairs), the greatest correlation of a model's motifs with the length baseline's and with
-    the syntax extractor's, the decisions, and whether to go on. Models are the extractors that are neither of these nor of rules.
-    weight: a column that says for how many traces a trace stands."""
+    the syntax extractor's, the decisions, and whether to go on. Models are the extractors that are neither of these nor of rules."""
     model = lambda c: ~F.col(c).isin(length, syntax, *rules)
     r = F.coalesce("r", F.lit(0.0))
     against = lambda name: F.coalesce(F.greatest(F.lit(0.0), F.max(F.when(((F.col("extractor_a") == name) & model("extractor_b")) | ((F.col("extractor_b") == name) & model("extractor_a")), r))), F.lit(0.0))
     level = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    one = _compared(graphs, weight).agg(
+    one = compared.agg(
         level(F.coalesce("kappa", F.lit(0.0))).alias("graph_level"), level(r).alias("motif_level"), against(length).alias("length_correlation"),
         against(syntax).alias("syntax_correlation"), level("similarity").alias("structure_level"),
     )

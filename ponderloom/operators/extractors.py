@@ -9,21 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import rule_type, split_sentences
-from ..schema import NODE
+from ..functions.text import length_type, rule_type, split_sentences
+from ..schema import CODES, NODE
 from .agreement import all_segments
-from .graph import branching_edges, fixed, forward_spans, normalise_type
+from .graph import branching_edges, fixed, forward_spans, normalise_type, type_codes
 
 E = F.expr
 
 
-def extract_segments(traces: DataFrame, text_col: str = "cot_text", classify: Callable[[Column], Column] = rule_type) -> DataFrame:
-    """traces plus nodes and edges: sentences cut into operations, each classified (by rules, or by a Column function such as an
-    Arrow UDF around a parser), repeated conditions made Transform, runs of one operation merged; spans found forward in the text."""
-    keep = traces.columns
-    s = fixed(traces.withColumn("_s", split_sentences(F.col(text_col))))
-    s = fixed(s.withColumn("_p", F.coalesce(all_segments("_s"), E("cast(array() as array<string>)"))))
-    s = fixed(s.withColumn("_x", F.transform("_p", lambda p: F.struct(classify(p).alias("type"), p.alias("text"), F.lower(F.ltrim(p)).alias("low")))))
+def merged_operations(s: DataFrame) -> DataFrame:
+    """s plus _m: of typed operations _x (type, text, low: the text's beginning in lower case), repeated conditions made Transform, runs of one operation
+    merged, each with its texts."""
     kind = "struct<type:string,text:string,low:string>"
     cond = "(startswith(x.low, 'if ') or startswith(x.low, 'when ') or startswith(x.low, 'whether '))"
     again = f"size(acc) >= 2 and x.type = 'Branch' and element_at(acc, -1).type <> 'Branch' and acc[size(acc) - 2].type = 'Branch' and {cond}"
@@ -33,12 +29,52 @@ def extract_segments(traces: DataFrame, text_col: str = "cot_text", classify: Ca
     apart = f"(startswith(x.low, 'otherwise') or startswith(x.low, 'else') or startswith(x.low, 'case ') or {cond})"
     same = f"coalesce(try_element_at(acc, -1).type, '') = x.type and ((x.type = 'Transform' and not {apart}) or x.type in ('Verify', 'Backtrack'))"
     merged = f"aggregate(_x, cast(array() as array<struct<type:string,texts:array<string>>>), (acc, x) -> if({same}, concat(slice(acc, 1, size(acc) - 1), array(named_struct('type', x.type, 'texts', array_append(element_at(acc, -1).texts, x.text)))), array_append(acc, named_struct('type', x.type, 'texts', array(x.text)))))"
-    s = fixed(s.withColumn("_m", E(merged)))
+    return fixed(s.withColumn("_m", E(merged)))
+
+
+def extract_segments(traces: DataFrame, text_col: str = "cot_text", classify: Callable[[Column], Column] = rule_type) -> DataFrame:
+    """traces plus nodes and edges: sentences cut into operations, each classified (by rules, or by a Column function such as an
+    Arrow UDF around a parser), repeated conditions made Transform, runs of one operation merged; spans found forward in the text."""
+    keep = traces.columns
+    s = fixed(traces.withColumn("_s", split_sentences(F.col(text_col))))
+    s = fixed(s.withColumn("_p", F.coalesce(all_segments("_s"), E("cast(array() as array<string>)"))))
+    s = fixed(s.withColumn("_x", F.transform("_p", lambda p: F.struct(classify(p).alias("type"), p.alias("text"), F.lower(F.ltrim(p)).alias("low")))))
+    s = merged_operations(s)
     s = fixed(s.withColumn("_q", forward_spans(text_col)))
     nodes = E(f"cast(transform(_m, (x, i) -> named_struct('id', i + 1, 'type', x.type, 'text', array_join(x.texts, ' '), 'span', _q[i])) as array<{NODE}>)")
     return fixed(fixed(s.withColumn("nodes", nodes).select(*keep, "nodes")).withColumn("edges", branching_edges()))
 
 
+def sentence_parts(sentences: DataFrame, text_col: str = "sentence", classify: Callable[[Column], Column] = rule_type) -> DataFrame:
+    """sentences plus what the three extractors see of them: rules and lengths (types of their sentences), operations (type and beginning of their segments)."""
+    s = fixed(sentences.withColumn("_s", split_sentences(F.col(text_col))))
+    s = fixed(s.withColumn("_p", F.coalesce(all_segments("_s"), E("cast(array() as array<string>)"))))
+    low = lambda p: F.substr(F.lower(F.ltrim(p)), F.lit(1), F.lit(len("otherwise")))
+    parts = [F.transform("_s", lambda x: rule_type(x)).alias("rules"), F.transform("_s", lambda x: length_type(x)).alias("lengths"), F.transform("_p", lambda p: F.struct(classify(p).alias("type"), low(p).alias("low"))).alias("operations")]
+    return fixed(s.select(*sentences.columns, *parts))
+
+
+#: Beginnings of operations by which merged_operations tells operations of one type apart.
+APART = ("if ", "when ", "whether ", "case ", "otherwise", "else")
+
+
+def extract_codes(traces: DataFrame, parts: list) -> DataFrame:
+    """traces (says: numbers from 0 on of parts; w) to w and g: extractor and codes of what extract_rules, extract_segments and extract_by_length find in
+    the sentences' texts, one after the other. parts: rows of sentence_parts, few. Sentences must stay apart when they are joined.
+    Runs are merged in the letters; only traces with an operation of APART need merged_operations."""
+    each = lambda values: F.transform("says", lambda k: F.get(F.array(*values), k))
+    letters = lambda types: F.lit("".join(CODES[t] for t in types))
+    joined = {e: F.array_join(each([letters(types(p)) for p in parts]), "") for e, types in (("rbe", lambda p: p.rules), ("sbe", lambda p: [o.type for o in p.operations]), ("rbe_rand", lambda p: p.lengths))}
+    kind = "array<struct<type:string,text:string,low:string>>"
+    operations = [F.array(*[F.struct(F.lit(o.type).alias("type"), F.lit("").alias("text"), F.lit(o.low).alias("low")) for o in p.operations]).cast(kind) for p in parts]
+    some = F.exists("says", lambda k: F.get(F.array(*[F.lit(any(o.low.startswith(APART) for o in p.operations)) for p in parts]), k))
+    rows = fixed(traces.select("w", *[c.alias(e) for e, c in joined.items()], F.when(some, F.flatten(each(operations))).otherwise(E(f"cast(array() as {kind})")).alias("_x")))
+    rows = merged_operations(rows)
+    runs = F.regexp_replace("sbe", "(T)T+|(V)V+|(K)K+", "$1$2$3")
+    made = {"rbe": F.regexp_replace("rbe", "T+", "T"), "sbe": F.when(F.size("_m") > 0, type_codes("_m")).otherwise(runs), "rbe_rand": F.col("rbe_rand")}
+    return fixed(rows.select("w", F.array(*[F.struct(F.lit(e).alias("extractor"), c.alias("codes")) for e, c in made.items()]).alias("g")))
+
+
 #: The request that a language model gets for each text.
 PROMPT = """Turn the reasoning below into a JSON object {"domain": ..., "nodes": [{"id": 1, "type": ..., "span": [start, end]}, ...], "edges": [[1, 2], ...]}.
 Types: Retrieve, Transform, Compare, Verify, Branch, Backtrack. One node for each atomic operation; edges go from what is used to where it is used.

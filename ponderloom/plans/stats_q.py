@@ -17,7 +17,7 @@ from ..operators import stats as B
 from ..operators import steps as ST
 from ..operators import validate as V
 from ..schema import MOTIF_ORDER, TYPES
-from .fixtures import CODE_SQL, EVENT_TYPE, event_graphs, event_sql, order_cots, order_graphs, order_texts, sentences_sql, table
+from .fixtures import CODE_SQL, EVENT_TYPE, event_graphs, event_sql, order_codes, order_cots, order_graphs, sentences_sql, table
 from .graphs_q import _LOST, BASE, MATRIX, MOTIF_SQL, _lossy, _rounded
 from .text_q import RBE_ND
 
@@ -127,10 +127,8 @@ def iaa_dimension(spark, sf):
 
 
 def iaa_decision(spark, sf):
-    """Agreement of the rules, the length baseline and the segment extractor at three levels, and the decision. Equal texts are compared once and count as often as they occur."""
-    from .composed_q import _three
-
-    return A.decision(_three(spark, order_texts(spark, sf), "weight"), weight="weight")
+    """Agreement of the rules, the length baseline and the segment extractor at three levels, and the decision. Equal type sequences are compared once and count as often as they occur."""
+    return A.decided(A.compared_codes(order_codes(spark, sf)))
 
 
 @query(f"WITH {RATERS}, e AS (SELECT item, category, count(*) AS c FROM rt GROUP BY ALL), i AS (SELECT item, (sum(c * c) - 3) / 6.0::DOUBLE AS p FROM e GROUP BY item), pe AS (SELECT sum(c * c) / (SELECT count(*) * count(*) FROM rt) AS x FROM (SELECT category, sum(c) AS c FROM e GROUP BY category)) SELECT round((avg(p) - max(x)) / (1 - max(x)), 6) AS kappa, true AS within FROM i, pe")
