@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 
 from ..functions.text import once, rule_type
 from ..schema import CODES, MOTIF_ORDER
-from .graph import branching_edges, coded_nodes, extract_by_length, extract_rules, fixed, type_codes
+from .graph import branching_edges, branching_neighbours, coded_nodes, extract_by_length, extract_rules, fixed, type_codes
 from .motifs import presence, vector, with_counts
 from .similarity import described, edit_similarity, label_cosine, levenshtein_similarity, wl_labels
 from .stats import poisson
@@ -212,9 +212,9 @@ def _agreed(x, y, a, b):
     return pa.StructArray.from_arrays([pa.array(kappa, mask=np.isnan(kappa)), pa.array(s)], ["kappa", "s"])
 
 
-def _described(graphs: DataFrame, *keep: str) -> DataFrame:
+def _described(graphs: DataFrame, *keep: str, near: tuple[Column, Column] | None = None) -> DataFrame:
     """keep, codes, p (a digit for each motif: 1 where it is present), labels (as 64 bits each)."""
-    rows = fixed(with_counts(wl_labels(graphs)))
+    rows = fixed(with_counts(wl_labels(graphs, near=near)))
     return fixed(rows.select(*keep, type_codes().alias("codes"), F.array_join(F.transform("counts", lambda c: F.when(c > 0, "1").otherwise("0")), "").alias("p"), F.transform("labels", lambda x: F.xxhash64(x)).alias("labels")))
 
 
@@ -240,7 +240,7 @@ def compared_codes(traces: DataFrame) -> DataFrame:
     codes = fixed(pairs.where("w > 0")).select(F.explode(F.array("codes_a", "codes_b")).alias("codes")).distinct()
     codes = codes.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # short texts, but work: else they come in few tasks
     classes = fixed(fixed(codes.withColumn("nodes", coded_nodes("codes"))).withColumn("edges", branching_edges()))
-    classes = _described(classes.select(F.col("codes").alias("key"), "nodes", "edges"), "key")
+    classes = _described(classes.select(F.col("codes").alias("key"), "nodes", "edges"), "key", near=branching_neighbours())
     side = lambda s: classes.select(F.col("key").alias(f"codes_{s}"), F.col("p").alias(f"p_{s}"), F.col("labels").alias(f"labels_{s}"))
     return _summed(fixed(pairs.where("w > 0")).join(side("a"), "codes_a").join(side("b"), "codes_b"))
 

@@ -72,3 +72,12 @@ def test_agreement_of_pairs_at_once(spark):
     want = df.withColumn("z", A.align("x", "y")).select("i", A._codes_kappa("z").alias("k"), S.label_cosine("a", "b").alias("c"))
     for r in got.join(want, "i").collect():
         assert (r.kappa is None) == (r.k is None) and (r.k is None or math.isclose(r.kappa, r.k, abs_tol=1e-12)) and math.isclose(r.s, r.c, abs_tol=1e-12), r
+
+
+def test_neighbours_of_branching_graphs(spark):
+    """Labels with the neighbours known are those by the edges."""
+    rng = random.Random(7)
+    codes = ["", "B", "BB", "BBB", "RB", *("".join(rng.choice("RTBK") for _ in range(rng.randrange(3, 12))) for _ in range(60))]
+    rows = G.fixed(spark.createDataFrame([(c,) for c in codes], "trace_id string").withColumn("nodes", G.coded_nodes("trace_id"))).withColumn("edges", G.branching_edges())
+    for r in S.wl_labels(S.wl_labels(rows).withColumnRenamed("labels", "by_edges"), near=G.branching_neighbours()).collect():
+        assert r.labels == r.by_edges and len(r.labels) == 4 * len(r.trace_id)
